@@ -18,13 +18,15 @@ def hot_hashes(df: DataFrame, keys: list[str], hot_rows: int) -> list[int]:
     return [r["h"] for r in counted.orderBy(F.col("count").desc(), "h").limit(MOST_HOT).collect()]
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = 200_000, salts: int = 16) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = 200_000, salts: int = 16, hot: list[int] | None = None) -> DataFrame:
     """Equi-join whose ``left`` side may be skewed on ``keys`` and whose ``right`` side has few rows a key.
 
     Rows of hot keys on the left are spread over ``salts`` partitions, and only the right rows of those keys are
     repeated that often; all others join as they are. ``how``: inner, left, left_semi or left_anti. Null keys match nothing.
+    ``hot`` gives the hot hashes where they are known from before.
     """
-    hot = hot_hashes(left, keys, hot_rows)
+    if hot is None:
+        hot = hot_hashes(left, keys, hot_rows)
     if not hot:
         return left.join(right, keys, how)
     named = [*keys, "_salt"]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +28,23 @@ def build_session(master: str = "local[*]", app: str = "loomspan", **extra: str)
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in the Python workers, once an application, unless their path has it already."""
+    root = str(Path(__file__).resolve().parent.parent)
+    context = spark.sparkContext
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *([os.getcwd()] if context.master.startswith("local[") else [])]
+    if context.applicationId in _shipped or root in map(os.path.realpath, filter(None, known)):
+        return
+    _shipped.add(context.applicationId)
+    context.addPyFile(shutil.make_archive(tempfile.mkdtemp() + "/loomspan", "zip", root, "loomspan"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory (a file or a directory of part files)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
