@@ -83,7 +83,8 @@ def _text(node: object, key: str) -> str | None:
 class _Nodes:
     """Columns of the nodes of one Arrow batch; labels run on over its documents, so intervals never meet."""
 
-    def __init__(self) -> None:
+    def __init__(self, attributes: tuple[str, ...] = ()) -> None:
+        self.attributes = {name: [] for name in attributes}
         self.row: list[int] = []
         self.kind: list[str] = []
         self.pre: list[int] = []
@@ -114,6 +115,8 @@ class _Nodes:
             self.id.append(_text(node, "id"))
             self.target.append(_text(node, "target"))
             self.place.append(place)
+            for name, values in self.attributes.items():
+                values.append(_text(node, name))
             self.label += 1
             stack.append((None, at, None, level))
             if isinstance(node, dict):
@@ -173,32 +176,32 @@ def _linked(nodes: _Nodes) -> dict[str, pa.Array]:
     }
 
 
-def node_table(df: DataFrame, column: str, keep: list[str], spec: dict[str, Kind] = GRAPH, kinds: list[str] | None = None) -> DataFrame:
+def node_table(df: DataFrame, column: str, keep: list[str], spec: dict[str, Kind] = GRAPH, kinds: list[str] | None = None, attributes: tuple[str, ...] = ()) -> DataFrame:
     """One row per node of the JSON documents in ``column``, with the ``keep`` columns of its row.
 
     Added columns: ``kind``; ``pre`` and ``post``, the interval label within the document (a node is below
     another exactly if its interval lies inside); ``level``; the node's own ``id`` and ``target``; ``parent_pre``, the
     label of the node around it; ``owner_id``, the id of the nearest node around it of another kind; ``place`` in its
     array; ``path``, the places from the outermost node of its kind inward. Labels and links are made inside the Arrow batch
-    that holds the document, so nothing is shuffled. ``kinds`` restricts what is emitted.
+    that holds the document, so nothing is shuffled. ``kinds`` restricts what is emitted; ``attributes`` names further members of a node to emit, as text or JSON.
 
     Defined cases: null, empty or broken text and JSON that is not one object give no rows; a single object in place of an
     array is an array of one; null elements take a place and give no row; other values in place of an array give
     nothing; a missing ``id`` is null; an empty table gives an empty table. ``keep`` columns must not be named like the
     added ones.
     """
-    if clash := {f.name for f in _ADDED} & set(keep):
+    if clash := ({f.name for f in _ADDED} | set(attributes)) & set(keep):
         raise ValueError(f"rename before: {sorted(clash)}")
-    schema = T.StructType([df.schema[c] for c in keep] + _ADDED)
+    schema = T.StructType([df.schema[c] for c in keep] + _ADDED + [T.StructField(a, T.StringType()) for a in attributes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = _Nodes()
+            nodes = _Nodes(attributes)
             texts = batch.column(batch.schema.get_field_index(column))
             for row in range(len(texts)):
                 if (root := parse_object(texts[row].as_py())) is not None:
                     nodes.walk(row, root, spec)
-            added = _linked(nodes)
+            added = _linked(nodes) | {name: pa.array(values, pa.string()) for name, values in nodes.attributes.items()}
             table = pa.RecordBatch.from_arrays(list(added.values()), list(added))
             rows = pa.array(nodes.row, pa.int64())
             if kinds is not None:
