@@ -214,12 +214,12 @@ def order_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.on_cycles(edges, "src", "dst")
 
 
-_JOBS = "j AS (SELECT o_orderkey AS job, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey - o_orderkey % 7 + (o_orderkey % 7 - 1) // 2 END AS need FROM orders WHERE o_orderkey < 3000)"
+_JOBS = "j AS (SELECT o_orderkey AS job, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey - o_orderkey % 7 + (o_orderkey % 7 - 1) // 2 END AS need FROM orders)"
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where("o_orderkey < 3000").select(k.alias("job"), F.when(k % 7 > 0, k - k % 7 + F.floor((k % 7 - 1) / 2)).alias("need"))
+    return table(spark, sf_dir, "orders").select(k.alias("job"), F.when(k % 7 > 0, k - k % 7 + F.floor((k % 7 - 1) / 2)).alias("need"))
 
 
 @query(f"WITH RECURSIVE {_JOBS}, t AS (SELECT job, need, 1 AS steps FROM j WHERE need IS NOT NULL UNION SELECT t.job, j.need, t.steps + 1 FROM t JOIN j ON j.job = t.need WHERE j.need IS NOT NULL) SELECT job, need, CAST(min(steps) AS INTEGER) AS steps FROM t GROUP BY ALL")
@@ -236,11 +236,11 @@ def job_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.waves(j, j.where("need IS NOT NULL"), "job", "need")
 
 
-@query("SELECT n_name AS start, count(DISTINCT l_partkey) AS reached FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE n_regionkey = 1 GROUP BY 1")
+@query("SELECT n_name AS start, count(DISTINCT l_partkey) AS reached FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def bounded_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three steps over different edges."""
     edge = lambda t, s, d: table(spark, sf_dir, t).select(F.col(s).cast("long").alias("src"), F.col(d).cast("long").alias("dst"))
-    start = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("query"), F.col("n_nationkey").cast("long").alias("node"))
+    start = table(spark, sf_dir, "nation").select(F.col("n_name").alias("query"), F.col("n_nationkey").cast("long").alias("node"))
     reached = graph.traverse(start, [edge("customer", "c_nationkey", "c_custkey"), edge("orders", "o_custkey", "o_orderkey"), edge("lineitem", "l_orderkey", "l_partkey")])
     return reached.groupBy(F.col("query").alias("start")).agg(F.count("*").alias("reached"))
 
@@ -327,12 +327,12 @@ def ready_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("job").join(blocked, "job", "left_anti")
 
 
-@query("WITH d AS (SELECT DISTINCT id, type, source, target FROM relation) SELECT md5(string_agg(md5(concat_ws('|', id, type, coalesce(source, ''), coalesce(target, ''))), '' ORDER BY id)) AS digest, count(*) AS n FROM (SELECT * FROM d WHERE starts_with(id, 'story_000016:'))")
+@query("WITH d AS (SELECT DISTINCT id, story_id, type, source, target FROM relation) SELECT story_id, md5(string_agg(md5(concat_ws('|', id, type, coalesce(source, ''), coalesce(target, ''))), '' ORDER BY id)) AS digest, count(*) AS n FROM d GROUP BY story_id")
 def build_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3: digest of one story's artifact, from the digests of its sorted rows."""
-    d = table(spark, sf_dir, "relation").where(F.startswith("id", F.lit("story_000016:"))).select("id", "type", "source", "target").distinct()
+    """V3: digest of each story's artifact, from the digests of its sorted rows."""
+    d = table(spark, sf_dir, "relation").select("id", "story_id", "type", "source", "target").distinct()
     row = F.md5(F.concat_ws("|", "id", "type", F.coalesce("source", F.lit("")), F.coalesce("target", F.lit(""))))
-    return d.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", row.alias("h")))), lambda s: s.h), "")).alias("digest"), F.count("*").alias("n"))
+    return d.groupBy("story_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", row.alias("h")))), lambda s: s.h), "")).alias("digest"), F.count("*").alias("n"))
 
 
 QUERIES, ORACLE = catalog.queries, catalog.oracle

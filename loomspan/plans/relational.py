@@ -98,10 +98,10 @@ def message_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins ------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 490000")
+@query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def equi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner equi-join."""
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 490000")
+    o = table(spark, sf_dir, "orders")
     return table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey")
 
 
