@@ -114,3 +114,15 @@ QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_forms, p5_found, p5_assigned, p5_report, p6_found, p6_gaps, p8_ids, p8_spans, p8_round_trip, p9_mix, p9_shares, p10_found, p10_redacted, p10_terms)
 }
+
+
+_TIES = r"""WITH RECURSIVE n AS (SELECT DISTINCT id, story_id, lower(regexp_replace(narrator_id, '^\s+|\s+$', '', 'g')) AS a, lower(regexp_replace(recording_id, '^\s+|\s+$', '', 'g')) AS b FROM source_record WHERE story_id IS NOT NULL),
+x AS (SELECT DISTINCT story_id, 'n:' || a AS e FROM n WHERE a NOT IN ('', 'unknown', 'n/a', 'none', '-') UNION SELECT DISTINCT story_id, 'r:' || b FROM n WHERE b NOT IN ('', 'unknown', 'n/a', 'none', '-')),
+l AS (SELECT DISTINCT p.story_id AS a, q.story_id AS b FROM x p JOIN x q USING (e)), c AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b)"""
+_SCANS = """WITH r AS (SELECT DISTINCT id AS source_id, story_id, available_at_seconds AS t FROM source_record WHERE raw_feature_bin >= 0 AND available_at_seconds IS NOT NULL), s AS (SELECT DISTINCT story_id, tr_centers_story_seconds[i] AS c, response_raw_indices[i] AS raw FROM (SELECT *, unnest(range(1, len(response_raw_indices) + 1)) AS i FROM alignment) WHERE tr_centers_story_seconds[i] IS NOT NULL AND NOT isnan(tr_centers_story_seconds[i])),
+p AS (SELECT source_id, raw, abs(c - t) AS gap, row_number() OVER (PARTITION BY source_id ORDER BY abs(c - t), raw) AS k FROM r JOIN s ON s.story_id = r.story_id AND c BETWEEN t - 0.9 AND t + 0.9)"""
+ORACLE = {
+    "p5_found": _TIES + " SELECT DISTINCT a AS story_a, b AS story_b FROM c WHERE a < b",
+    "p6_found": _SCANS + " SELECT source_id, raw AS raw_row FROM p WHERE k = 1 AND gap <= 0.9",
+    "p6_gaps": _SCANS + " SELECT source_id, raw AS raw_row, round(gap, 6) AS gap FROM p WHERE k = 1 AND gap <= 0.9",
+}
