@@ -391,11 +391,11 @@ def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 _P = "p AS (SELECT event_type AS family, event_id, value / 1000.0 AS p FROM events)"
 
 
-@query(f"WITH {_P}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS r, count(*) OVER (PARTITION BY family) AS m FROM p) SELECT family, event_id, round(least(1.0, min(p * m / r) OVER (PARTITION BY family ORDER BY r DESC)), 5) AS adjusted FROM r WHERE p BETWEEN 0 AND 1")
+@query(f"WITH {_P}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS r, count(*) OVER (PARTITION BY family) AS m FROM p) SELECT family, event_id, CAST(floor(least(1.0, min(p * m / r) OVER (PARTITION BY family ORDER BY r DESC)) * 1e6 + 0.001) AS BIGINT) AS adjusted_ppm FROM r WHERE p BETWEEN 0 AND 1")
 def bh_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step-up adjusted p values by family."""
+    """Step-up adjusted p values by family, in whole millionths."""
     p = table(spark, sf_dir, "events").select(F.col("event_type").alias("family"), "event_id", (F.col("value") / 1000).alias("p"))
-    return relate.benjamini_hochberg(p, "family", "p").where("p BETWEEN 0 AND 1").select("family", "event_id", F.round("adjusted", 5).alias("adjusted"))
+    return relate.benjamini_hochberg(p, "family", "p").where("p BETWEEN 0 AND 1").select("family", "event_id", F.floor(F.col("adjusted") * 1e6 + 0.001).alias("adjusted_ppm"))
 
 
 @query("WITH s AS (SELECT DISTINCT story_id FROM draft) SELECT story_id, CAST((row_number() OVER (ORDER BY story_id) - 1) % 3 AS INTEGER) AS fold FROM s")

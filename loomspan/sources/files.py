@@ -247,7 +247,7 @@ def content_kind(content: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, magic in SIGNATURES.items():
         out = F.coalesce(out, F.when(F.startswith(content, F.lit(magic)), kind))
-    head = F.lower(F.ltrim(F.decode(F.substring(content, 1, 64), "ISO-8859-1")))
+    head = F.lower(F.regexp_replace(F.decode(F.substring(content, 1, 64), "ISO-8859-1"), r"^\s+", ""))
     text = F.when(head.startswith("<!doctype html") | head.startswith("<html"), "html").when(head.startswith("<"), "xml").when(head.startswith("{") | head.startswith("["), "json").otherwise("other")
     return F.coalesce(out, text)
 
