@@ -246,12 +246,11 @@ def with_normal_form(df: DataFrame, columns: list[str], suffix: str = "_form") -
     Equal forms mean: the same letters, accents, digits, marks and emoji in the same case and order, with the same word
     breaks. Width, ligatures, look-alike letters of other scripts, the order of accents and how they are composed,
     characters without a look, and the kind and number of spaces do not count; raised, circled or otherwise drawn signs stay
-    what they are. Null gives null, an empty or blank text the empty text; very long texts are taken whole. A table may have a column of
-    the new name only if that is meant to be replaced, else this raises.
+    what they are. Null gives null, an empty or blank text the empty text; very long texts are taken whole. A column
+    that already has a new name is replaced.
     """
     made = [c + suffix for c in columns]
-    if clash := set(made) & set(df.columns):
-        raise ValueError(f"rename before: {sorted(clash)}")
+    df = df.drop(*made)
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.StringType()) for c in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

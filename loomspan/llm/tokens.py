@@ -69,12 +69,11 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", spans: bool = Fa
 
     With ``spans`` also ``starts`` and ``ends``, the code points at which each token begins and ends; tokens that hold
     only some bytes of a character have the whole character's place. Null and empty texts both give empty arrays; blank ones are text. Texts are
-    taken whole. An existing column of a new name raises.
+    taken whole. A column that already has a new name is replaced.
     """
     added = [ids, *(["starts", "ends"] if spans else [])]
+    df = df.drop(*added)
     rest = [f for f in df.schema.fields if f.name != text]
-    if clash := set(added) & {f.name for f in rest}:
-        raise ValueError(f"rename before: {sorted(clash)}")
     path = f"{folder}/{tokenizer}.json"
     schema = T.StructType(rest + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in added])
 
@@ -100,6 +99,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", spans: bool = Fa
 
 def count_tokens(df: DataFrame, text: str = "text", tokens: str = "tokens", tokenizer: str = DEFAULT, folder: str = FOLDER) -> DataFrame:
     """Replace the ``text`` column by its number of tokens (0 for null and empty); only the number leaves Python."""
+    df = df.drop(tokens)
     rest = [f for f in df.schema.fields if f.name != text]
     path = f"{folder}/{tokenizer}.json"
     schema = T.StructType([*rest, T.StructField(tokens, T.IntegerType())])
@@ -121,6 +121,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "text", tokenizer: str =
     Whole encodings come back exactly. A slice that begins or ends inside a character gives U+FFFD for its rest. Null gives null, an
     empty array the empty text, an id outside the vocabulary raises.
     """
+    df = df.drop(text)
     rest = [f for f in df.schema.fields if f.name != ids]
     path = f"{folder}/{tokenizer}.json"
     schema = T.StructType([*rest, T.StructField(text, T.StringType())])

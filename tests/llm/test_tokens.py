@@ -34,7 +34,8 @@ def test_spans_and_split_characters(spark):
 
 
 def test_names_and_empty(spark):
-    df = spark.createDataFrame([("x", 1)], "text string, ids int")
-    with pytest.raises(ValueError, match="ids"):
-        tokens.encode(df)
-    assert tokens.encode(df.drop("ids").limit(0)).count() == 0
+    df = spark.createDataFrame([("x", 1, "clash")], "text string, ids int, tokens string")
+    assert [r["ids"] for r in tokens.encode(df).collect()] == [[87]]
+    assert [r["tokens"] for r in tokens.count_tokens(df).collect()] == [1]
+    assert [r["text"] for r in tokens.decode(tokens.encode(df.withColumn("y", df["text"]), "y")).collect()] == ["x"]
+    assert tokens.encode(df.limit(0)).count() == 0
