@@ -39,10 +39,10 @@ class Bloom:
             keys.select(at.alias("at"))
             .groupBy(F.shiftright("at", 6).cast("int").alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set"))
-            .toPandas()
+            .toArrow()
         )
         out = np.zeros(bits // 64, np.int64)
-        out[words["word"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
+        out[words["word"].to_numpy()] = words["set"].to_numpy()
         return cls(out, bits, hashes)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
@@ -82,11 +82,11 @@ def orphans(references: DataFrame, parents: DataFrame, withdrawn: DataFrame, bit
     exact join, in which hot targets are split. Its size is fixed, so false positives, not memory, grow with the data.
 
     Defined cases: a null scope holds no records, so its references are missing; a parent without time is there always; a
-    reference without time can only be missing; repeated rows count once; empty inputs give what follows from that.
+    reference without time can only be missing; repeated rows count once; other columns are ignored, whatever their names; empty inputs give what follows from that.
     """
-    references = references.where(F.coalesce(F.regexp_like("target", F.lit(r"\S")), F.lit(False)))
+    references = references.select("ref_table", "record_id", "pos", "scope", "target", "at").where(F.coalesce(F.regexp_like("target", F.lit(r"\S")), F.lit(False)))
     references = references.withColumn("period", F.date_format("at", "yyyy-MM")).withColumn("_h", F.xxhash64("scope", "target"))
-    parents = parents.where(F.col("scope").isNotNull() & F.col("id").isNotNull())
+    parents = parents.select("scope", "id", "at").where(F.col("scope").isNotNull() & F.col("id").isNotNull())
     bloom = Bloom.build(parents.select(F.xxhash64("scope", F.col("id")).alias("h")), "h", bits)
     tested = kept(references.withColumn("_maybe", bloom.column(F.col("_h")) & F.col("scope").isNotNull()).drop("_h"))
     columns = ["ref_table", "record_id", "pos", "reason", "period"]

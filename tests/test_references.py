@@ -39,6 +39,12 @@ def test_empty_tables(spark):
     assert found_set(spark, [("m", "1", 0, "s", "x", T0)], [], []) == {("m", "1", 0, "missing", "2024-01")}
 
 
+def test_clashing_columns(spark):
+    refs = spark.createDataFrame([("m", "1", 0, "s", "x", T0, "a", 1, True)], REF + ", since string, gone int, always boolean")
+    known = spark.createDataFrame([("s", "x", T0 + timedelta(days=1), "a")], KNOWN + ", target string")
+    assert [tuple(r) for r in references.orphans(refs, known, spark.createDataFrame([], KNOWN), 64).collect()] == [("m", "1", 0, "later", "2024-01")]
+
+
 def test_filter_never_loses_a_key(spark):
     keys = spark.range(2000).select(F.xxhash64("id").alias("h"))
     bloom = references.Bloom.build(keys, "h", 1 << 15)
