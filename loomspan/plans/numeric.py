@@ -172,7 +172,7 @@ def cooccurrence_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.select("item_i", "item_j", F.round(F.col("c") / F.sqrt(F.col("a") * F.col("b")), 6).alias("cosine"))
 
 
-@query("WITH c AS (SELECT event_type AS contrast, user_id % 8 AS subject, CAST(event_id % 5 AS INTEGER) AS story, avg(value) AS v FROM events GROUP BY ALL) SELECT contrast, round(avg(v), 4) AS mean, CAST(count(DISTINCT subject) AS INTEGER) AS subjects, CAST(count(DISTINCT story) AS INTEGER) AS stories, count(*) = count(DISTINCT subject) * count(DISTINCT story) AS available FROM c GROUP BY contrast")
+@query("WITH c AS (SELECT event_type AS contrast, user_id % 8 AS subject, CAST(event_id % 5 AS INTEGER) AS story, avg(value) AS v FROM events GROUP BY ALL) SELECT contrast, CASE WHEN count(*) = count(DISTINCT subject) * count(DISTINCT story) THEN round(avg(v), 4) END AS mean, CAST(count(DISTINCT subject) AS INTEGER) AS subjects, CAST(count(DISTINCT story) AS INTEGER) AS stories, count(*) = count(DISTINCT subject) * count(DISTINCT story) AS available FROM c GROUP BY contrast")
 def crossed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of a complete panel of subjects and stories; its interval is random and tested against numpy."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("contrast"), (F.col("user_id") % 8).alias("subject"), (F.col("event_id") % 5).alias("story"), "value")
