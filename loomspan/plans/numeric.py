@@ -252,25 +252,46 @@ def paired_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH x AS (SELECT vec_id, label, CAST(i AS INTEGER) AS i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(6)) AS i)) SELECT a.label, a.i, b.i AS j, round(sum(a.x * b.x), 6) AS s, count(*) AS n FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
 def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of products by group."""
+    """Sums of products by group, of the first six coordinates like the SQL; gram_matrix_whole has all."""
     long = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 6).cast("array<double>")).alias("i", "x"))
     return linalg.gram(long, ["label"], ["vec_id"], "i", "x").withColumn("s", F.round("s", 6))
 
 
+_LONG = "WITH x AS (SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
+
+
+@query(_LONG + " SELECT a.label, a.i, b.i AS j, round(sum(a.x * b.x), 6) AS s, count(*) AS n FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
+def gram_matrix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of products by group, of all coordinates."""
+    long = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    return linalg.gram(long, ["label"], ["vec_id"], "i", "x").withColumn("s", F.round("s", 6))
+
+
 @query(
     """WITH x AS (SELECT vec_id, label, CAST(i AS INTEGER) AS i, CAST(embedding[i + 1] AS DOUBLE) AS x, vec_id % 5 > 0 AS train FROM embeddings, (SELECT unnest(range(6)) AS i)), f AS (SELECT label, i, avg(x) AS m, stddev_pop(x) AS s FROM x WHERE train GROUP BY ALL HAVING stddev_pop(x) > 1e-8), k AS (SELECT label, count(*) AS k FROM f GROUP BY 1)
 SELECT vec_id, i, round((x - m) / s / sqrt(k), 5) AS z FROM x JOIN f USING (label, i) JOIN k USING (label)"""
 )
 def group_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scaling by training rows, equal variance per group."""
+    """Scaling by training rows, equal variance per group, of the first six coordinates like the SQL; group_zscore_whole has all."""
     long = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5 > 0).alias("train"), F.posexplode(F.slice("embedding", 1, 6).cast("array<double>")).alias("i", "x"))
     return linalg.group_scaled(long, "train", "label", "i", "x").select("vec_id", "i", F.round("z", 5).alias("z"))
 
 
+@query(
+    _LONG
+    + """, f AS (SELECT label, i, avg(x) AS m, stddev_pop(x) AS s FROM x WHERE vec_id % 5 > 0 GROUP BY ALL HAVING stddev_pop(x) > 1e-8), k AS (SELECT label, count(*) AS k FROM f GROUP BY 1)
+SELECT vec_id, i, round((x - m) / s / sqrt(k), 5) AS z FROM x JOIN f USING (label, i) JOIN k USING (label)"""
+)
+def group_zscore_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaling by training rows, equal variance per group, of all coordinates."""
+    long = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5 > 0).alias("train"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    return linalg.group_scaled(long, "train", "label", "i", "x").select("vec_id", "i", F.round("z", 5).alias("z"))
+
+
 @query()
 def local_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components per group from merged moments; against numpy in the tests."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("label"), F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     return linalg.principal_components(linalg.story_moments(e, "label", "v"), 3)
 
 
@@ -287,7 +308,7 @@ def ridge_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ridge_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Penalty chosen over folds by the closed-form loss; against direct fits in the tests."""
-    e = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("panel"), (F.col("vec_id") % 5).alias("fold"), F.slice("embedding", 1, 10).cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
+    e = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("panel"), (F.col("vec_id") % 5).alias("fold"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
     return linalg.ridge(e, "panel", "x", "y", [0.1, 1.0, 10.0, 100.0], "fold")
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.operators import annotation, clock, linalg, relate, stats, text
+from loomspan.plans import numeric
 
 RNG = np.random.default_rng(5)
 
@@ -108,3 +109,21 @@ def test_later_rows_change_no_earlier_state(spark, data):
     view = annotation.graph_view(spark, data)
     early = view.at(3).mentions.select("id").distinct().count()
     assert early == view.at(5).mentions.where("unit_index <= 3").select("id").distinct().count()
+
+
+def test_whole_vectors(spark, data):
+    frame = pd.read_parquet(f"{data}/embeddings.parquet")
+    x, p = np.stack(frame["embedding"]).astype(float), len(frame["embedding"].iloc[0])
+    parts = numeric.QUERIES["local_components"](spark, data).collect()
+    for label in frame["label"].unique():
+        own = x[frame["label"] == label]
+        z = (own - own.mean(0)) / own.std(0)
+        got = {r["k"]: r for r in parts if r["group"] == str(label)}
+        assert np.allclose([got[k]["eigenvalue"] for k in range(3)], np.linalg.eigvalsh(z.T @ z / len(z))[::-1][:3]) and all(len(got[k]["weights"]) == p for k in got)
+    fit, y = numeric.QUERIES["ridge_selected"](spark, data).first(), frame["label"].to_numpy(float)
+    centred = x - x.mean(0)
+    assert np.allclose(fit["weights"], np.linalg.solve(centred.T @ centred + fit["alpha"] * np.eye(p), centred.T @ (y - y.mean())))
+    sums = {(r["label"], r["i"], r["j"]): r["s"] for r in numeric.QUERIES["gram_matrix_whole"](spark, data).collect()}
+    own = x[frame["label"] == 0]
+    assert len(sums) == frame["label"].nunique() * p * (p + 1) // 2 and np.allclose([sums[0, p - 2, p - 1], sums[0, 0, p - 1]], [own[:, p - 2] @ own[:, p - 1], own[:, 0] @ own[:, p - 1]], atol=1e-5)
+    assert numeric.QUERIES["group_zscore_whole"](spark, data).count() == len(x) * p
