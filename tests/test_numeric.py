@@ -1,10 +1,12 @@
 import numpy as np
 import pandas as pd
 import pytest
+from oracle import check
 from pyspark.sql import functions as F
 
 from loomspan.operators import annotation, clock, linalg, relate, stats, text
 from loomspan.plans import numeric
+from loomspan.plans import text as text_plans
 
 RNG = np.random.default_rng(5)
 
@@ -127,3 +129,16 @@ def test_whole_vectors(spark, data):
     own = x[frame["label"] == 0]
     assert len(sums) == frame["label"].nunique() * p * (p + 1) // 2 and np.allclose([sums[0, p - 2, p - 1], sums[0, 0, p - 1]], [own[:, p - 2] @ own[:, p - 1], own[:, 0] @ own[:, p - 1]], atol=1e-5)
     assert numeric.QUERIES["group_zscore_whole"](spark, data).count() == len(x) * p
+
+
+def test_all_letters_of_all_texts(spark, tmp_path):
+    docs = [("a", "Brook İstanbul ÄZ"), ("a", None), (None, "Quiz fox!"), (None, ""), ("b", "\u212a \u0130I")]
+    spark.createDataFrame(docs, "source string, text string").coalesce(1).write.parquet(str(tmp_path / "made"))
+    part = next((tmp_path / "made").glob("*.parquet"))
+    (tmp_path / "in").mkdir()
+    part.rename(tmp_path / "in" / "documents.parquet")
+    query = text_plans.QUERIES["letter_histogram_whole"]
+    got = {(r["source"], r["letter"]): r["n"] for r in query(spark, str(tmp_path / "in")).collect()}
+    assert len(got) == 3 * 26 and {k for k, n in got.items() if n and k[0] is None} == {(None, c) for c in "quizfox"}
+    assert (got["a", "i"], got["a", "o"], got["a", "z"], got["b", "k"], got["b", "i"]) == (1, 2, 1, 1, 2)
+    check(spark, str(tmp_path / "in"), query, text_plans.ORACLE["letter_histogram_whole"])
