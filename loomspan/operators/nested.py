@@ -55,7 +55,7 @@ def _no_constant(name: str) -> None:
 
 def parse_object(text: str | None) -> dict | None:
     """The object that the text is, or None where it is anything but one complete JSON object."""
-    if not text or "{" not in text[:64]:
+    if not text or not text.lstrip(" \t\r\n").startswith("{"):
         return None
     try:
         found = json.loads(text, parse_constant=_no_constant)

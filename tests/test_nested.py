@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from loomspan.operators.nested import GRAPH, _linked, _Nodes, node_table, nodes_within
+from loomspan.operators.nested import GRAPH, _linked, _Nodes, node_table, nodes_within, parse_object
 
 
 def nodes(spark, graphs):
@@ -65,3 +65,9 @@ def test_paths_against_recursion(documents):
     made = _linked(table)
     kinds, paths = made["kind"].to_pylist(), made["path"].to_pylist()
     assert sorted((r, p) for r, k, p in zip(table.row, kinds, paths, strict=True) if k == "alternative") == sorted(want)
+
+
+def test_leading_blanks():
+    for blanks in (" " * 64, "\n" * 500, "\r\n\t " * 100):
+        assert parse_object(blanks + '{"entities": []}') == {"entities": []}
+    assert parse_object(" " * 100) is None and parse_object('[{"a": 1}]') is None and parse_object("x {}") is None
