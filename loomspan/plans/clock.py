@@ -13,7 +13,7 @@ catalog = Catalog()
 query = catalog.query
 #: Seconds of one bin of the event series, which stands for a scan row, and rows before its begin.
 TR, LEADING, POSITION = 600.0, 5, 0.5
-#: Users whose series are made; a series covers as many bins as the stream.
+#: Least number of bins of a series; a stream with later events has a longer one.
 BINS = 4400
 DELAYS = [1, 2, 3, 4]
 
@@ -29,8 +29,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("slot", clock.first_bin(F.col("s"), TR, LEADING, POSITION))
 
 
+def _last_bin(events: DataFrame) -> DataFrame:
+    """One row: the last bin of every series, which no event lies behind."""
+    return events.agg(F.greatest(F.lit(BINS - 1), F.max("slot").cast("int")).alias("last"))
+
+
 def _rows(events: DataFrame) -> DataFrame:
-    return events.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("t"))
+    return events.select("event_type").distinct().crossJoin(_last_bin(events)).select("event_type", F.explode(F.sequence(F.lit(0), "last")).alias("t"))
 
 
 @query(_EV + "SELECT event_id, slot, round(((slot + 0.5) - 5) * 600.0 - s, 4) AS lag FROM e")
@@ -97,7 +102,7 @@ def support_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that each reason excludes in turn, and what is retained."""
     m = _masked(spark, sf_dir)
     valid = clock.fir(m, "event_type", "t", ["x"], DELAYS, "known").select("event_type", "t", F.col("valid").alias("timing"))
-    checked = valid.join(m.select("event_type", "t", (F.col("n") > 0).alias("present")), ["event_type", "t"]).withColumn("trimmed", F.col("t").between(10, 4389))
+    checked = valid.join(m.select("event_type", "t", (F.col("n") > 0).alias("present")), ["event_type", "t"]).crossJoin(_last_bin(_events(spark, sf_dir))).withColumn("trimmed", F.col("t").between(10, F.col("last") - 10))
     return clock.exclusions(checked, "event_type", ["timing", "trimmed", "present"])
 
 

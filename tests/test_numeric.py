@@ -5,6 +5,7 @@ from oracle import check
 from pyspark.sql import functions as F
 
 from loomspan.operators import annotation, clock, linalg, relate, stats, text
+from loomspan.plans import clock as clock_plans
 from loomspan.plans import numeric
 from loomspan.plans import text as text_plans
 
@@ -142,3 +143,16 @@ def test_all_letters_of_all_texts(spark, tmp_path):
     assert len(got) == 3 * 26 and {k for k, n in got.items() if n and k[0] is None} == {(None, c) for c in "quizfox"}
     assert (got["a", "i"], got["a", "o"], got["a", "z"], got["b", "k"], got["b", "i"]) == (1, 2, 1, 1, 2)
     check(spark, str(tmp_path / "in"), query, text_plans.ORACLE["letter_histogram_whole"])
+
+
+def test_bins_reach_the_last_event(spark, data, tmp_path):
+    events = pd.read_parquet(f"{data}/events.parquet")
+    late = events.iloc[[0]].assign(ts=events["ts"].min().normalize() + pd.Timedelta(days=60), event_id=500 * 10**6)
+    pd.concat([events, late]).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    found = {name: clock_plans.QUERIES[name](spark, str(tmp_path)).toPandas() for name in ("bin_sums", "bin_means", "known_mask", "fir_design", "support_exclusions")}
+    last, kinds = found["bin_sums"]["t"].max(), events["event_type"].nunique()
+    assert last > 8000 and all(len(found[name]) == (last + 1) * kinds for name in ("bin_sums", "bin_means", "known_mask", "fir_design"))
+    assert found["bin_sums"]["n"].sum() == found["bin_means"]["n"].sum() == events["value"].count() + late["value"].count()
+    mask = found["known_mask"].set_index(["event_type", "t"])["known"]
+    assert not mask[late["event_type"].iloc[0], last] and mask[late["event_type"].iloc[0], last - 3]
+    assert (found["support_exclusions"]["rows"] == last + 1).all() and found["support_exclusions"]["excluded_trimmed"].max() <= 20
