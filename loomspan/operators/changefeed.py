@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from loomspan.functions.jsons import parsed, written
+
 _LEAF = T.StructType([T.StructField("field", T.StringType()), T.StructField("value", T.StringType())])
 
 
@@ -18,14 +19,14 @@ def json_leaves(text: str | None, drop: str = "id") -> list[tuple[str, str | Non
     """Leaf fields of a JSON object as (dotted path, text) pairs, without the top-level field ``drop``.
 
     Strings stand for themselves, other leaves as compact JSON and null as None. Arrays are leaves; an empty
-    object has no leaf. A text that is not one complete JSON object has no leaves. Walks with a stack, so
+    object has no leaf. A text that is not one complete JSON object has no leaves. Reads and walks with a stack, so
     depth is not bounded by the interpreter.
     """
     if not text:
         return []
     try:
-        root = json.loads(text)
-    except (ValueError, RecursionError):
+        root = parsed(text)
+    except ValueError:
         return []
     if not isinstance(root, dict):
         return []
@@ -40,7 +41,7 @@ def json_leaves(text: str | None, drop: str = "id") -> list[tuple[str, str | Non
             elif value is None or isinstance(value, str):
                 found.append((path, value))
             else:
-                found.append((path, json.dumps(value, ensure_ascii=False, separators=(",", ":"))))
+                found.append((path, written(value)))
     return found
 
 

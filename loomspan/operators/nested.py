@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomspan.functions.jsons import parsed, written
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -49,17 +51,13 @@ _ADDED = [
 ]
 
 
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
-
-
 def parse_object(text: str | None) -> dict | None:
-    """The object that the text is, or None where it is anything but one complete JSON object."""
+    """The object that the text is, however deep, or None where it is anything but one complete JSON object."""
     if not text or not text.lstrip(" \t\r\n").startswith("{"):
         return None
     try:
-        found = json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        found = parsed(text)
+    except ValueError:
         return None
     return found if isinstance(found, dict) else None
 
@@ -77,7 +75,7 @@ def _members(value: object, kind: Kind) -> list[tuple[int, object]]:
 
 def _text(node: object, key: str) -> str | None:
     value = node.get(key) if isinstance(node, dict) else None
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return value if value is None or isinstance(value, str) else written(value, ", ", ": ")
 
 
 class _Nodes:
@@ -125,6 +123,11 @@ class _Nodes:
                     stack.extend((below, p, n, level + 1) for p, n in reversed(_members(node.get(member), below)))
 
 
+def _by_level(level: np.ndarray) -> list[np.ndarray]:
+    """Indices of the nodes of each level from 0 on, in their order."""
+    return np.split(np.argsort(level, kind="stable"), np.cumsum(np.bincount(level))[:-1]) if len(level) else []
+
+
 def enclosing(pre: np.ndarray, post: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Index of the node one level up whose interval holds each node's, -1 for roots.
 
@@ -132,8 +135,7 @@ def enclosing(pre: np.ndarray, post: np.ndarray, level: np.ndarray) -> np.ndarra
     ends after.
     """
     parent = np.full(len(pre), -1, np.int64)
-    for depth in range(1, int(level.max(initial=0)) + 1):
-        above, here = np.flatnonzero(level == depth - 1), np.flatnonzero(level == depth)
+    for above, here in pairwise(_by_level(level)):
         candidate = above[np.searchsorted(pre[above], pre[here]) - 1]
         holds = (pre[candidate] < pre[here]) & (post[candidate] > post[here])
         parent[here[holds]] = candidate[holds]
@@ -150,8 +152,8 @@ def _linked(nodes: _Nodes) -> dict[str, pa.Array]:
     kind, ids = np.array(nodes.kind, object), np.array(nodes.id, object)
     parent = enclosing(pre, post, level)
     path, owner = place.astype(str).astype(object), np.full(len(pre), None, object)
-    for depth in range(1, int(level.max(initial=0)) + 1):
-        here = np.flatnonzero((level == depth) & (parent >= 0))
+    for nodes_here in _by_level(level)[1:]:
+        here = nodes_here[parent[nodes_here] >= 0]
         above = parent[here]
         same = kind[here] == kind[above]
         owner[here] = np.where(same, owner[above], ids[above])

@@ -50,4 +50,6 @@ def test_empty_feed(spark):
 def test_leaves_of_deep_value():
     text = '{"a":' * 500 + "1" + "}" * 500
     assert json_leaves(text) == [(".".join("a" * 500), "1")]
+    text = '{"a":' * 50_000 + "[" * 20_000 + "]" * 20_000 + "}" * 50_000
+    assert json_leaves(text) == [(".".join("a" * 50_000), "[" * 20_000 + "]" * 20_000)]
     assert json_leaves("[1]") == json_leaves("x") == json_leaves(None) == json_leaves("") == []

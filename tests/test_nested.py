@@ -71,3 +71,14 @@ def test_leading_blanks():
     for blanks in (" " * 64, "\n" * 500, "\r\n\t " * 100):
         assert parse_object(blanks + '{"entities": []}') == {"entities": []}
     assert parse_object(" " * 100) is None and parse_object('[{"a": 1}]') is None and parse_object("x {}") is None
+
+
+def test_depth_is_not_bounded(spark):
+    deep = '{"entities": [{"id": "e", "x": ' + '{"y":' * 50_000 + "1" + "}" * 50_000 + '}], "uncertainties": [{"id": "q", "alternatives": ' + '[{"alternatives": ' * 6_000 + "null" + "}]" * 6_000 + "}]}"
+    table = _Nodes()
+    table.walk(0, parse_object(deep), GRAPH)
+    made = _linked(table)
+    paths = [p for k, p in zip(made["kind"].to_pylist(), made["path"].to_pylist(), strict=True) if k == "alternative"]
+    assert len(paths) == 6_000 and max(map(len, paths)) == 11_999 and made["kind"].to_pylist().count("entity") == 1
+    assert set(made["owner_id"].to_pylist()) == {None, "q"}
+    assert len(nodes(spark, ['{"entities": [{"id": ' + "[" * 12_000 + "]" * 12_000 + "}]}"])[0]["id"]) == 24_000

@@ -124,6 +124,11 @@ def test_json_values(spark):
     assert jsons.edited(value, [{"op": "add", "path": "/a/b/-", "value": 2}, {"op": "replace", "path": "/id", "value": "z"}, {"op": "remove", "path": "/a/b/0"}]) == {"a": {"b": [{"id": "x"}, 2]}, "id": "z"}
     with pytest.raises(KeyError):
         jsons.edited(value, [{"op": "remove", "path": "/none"}])
+    for path in ("/a/b/-1", "/a/b/9", "/a/b/x", "/a/b/-"):
+        with pytest.raises(KeyError):
+            jsons.edited(value, [{"op": "remove", "path": path}])
+    with pytest.raises(KeyError):
+        jsons.edited(value, [{"op": "add", "path": "/a/b/9", "value": 1}])
     assert jsons.ids_in(value) == ["x", "y"]
     assert jsons.sketch(value) == {"a": {"b": ["int"]}, "id": "str"}
     assert jsons.atoms({"a": [2, 1, 1], "b": {"c": None}}) == ["a=1", "a=2", "b.c=null"]
@@ -132,7 +137,38 @@ def test_json_values(spark):
     assert record == {"x": {"y": 2}}
     with pytest.raises(ValueError, match="before"):
         jsons.patched(record, {"op": "set", "field": "x.y", "before": 1, "value": 3})
+    for field in ("x.z", "w", "x.y.q"):
+        with pytest.raises(ValueError, match="no field"):
+            jsons.patched(record, {"op": "set", "field": field, "before": None, "value": 3})
     assert jsons.patched(record, {"op": "remove", "before": {"x": {"y": 2}}}) is None
     df = spark.createDataFrame([('{"b":1,"a":"x"}',), ('{ "a": "x", "b": 1 }',), ("{",), (None,)], "j string")
     hashes = [r[0] for r in df.select(jsons.canonical_hash("j")).collect()]
     assert hashes[0] == hashes[1] == __import__("hashlib").sha256(json.dumps({"a": "x", "b": 1}, sort_keys=True, separators=(",", ":")).encode()).hexdigest() and hashes[2:] == [None, None]
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, "x\\u00e9\\n", {}, [], true, false, null], "b": {"c": [[]]}}', "[]", ' "x" ', "0", "-0.5"])
+def test_reader_of_deep_json_agrees(text):
+    assert jsons._parsed_deep(text) == json.loads(text) and json.loads(jsons.written(json.loads(text))) == json.loads(text)
+    assert jsons.written(json.loads(text), ", ", ": ") == json.dumps(json.loads(text), ensure_ascii=False)
+
+
+@pytest.mark.parametrize("text", ["", "{", "[1,]", '{"a" 1}', '{"a":1,}', "[1] x", "NaN", "[Infinity]", "01", '{1: 2}', '"open', "[1 2]", "tru", '{"a":}', "[}"])
+def test_reader_of_deep_json_refuses(text):
+    with pytest.raises(ValueError):
+        jsons._parsed_deep(text)
+    with pytest.raises(ValueError):
+        jsons.parsed(text)
+
+
+def test_depth_is_not_bounded():
+    deep = jsons.parsed('{"a":[' * 50_000 + "1" + "]}" * 50_000)
+    assert jsons.written(deep) == '{"a":[' * 50_000 + "1" + "]}" * 50_000
+    assert sinks.canonical({"b": float("nan"), "a": [float("inf"), 1.5]}) == b'{"a":[null,1.5],"b":null}'
+
+
+def test_published_file_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "pointer")
+    for content in (b"one", b"two"):
+        sinks.write_bytes(spark, path, content)
+        assert sinks.read_bytes(spark, path) == content
+    assert [f.name for f in tmp_path.iterdir() if not f.name.startswith(".")] == ["pointer"]
