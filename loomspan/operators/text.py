@@ -6,7 +6,9 @@ import difflib
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,9 +44,10 @@ def words(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Words with their places: ``key, idx, word, char_start, char_end, gap``; offsets in code points, half-open.
 
     ``gap`` is what stands between a word and the next. Null and wordless texts give no rows. The pieces between words give the
-    offsets, so no Python is needed.
+    offsets, so no Python is needed. Texts are spread by key before they are cut into words: the windows over a text, here and in
+    ``unit_boundaries``, and groups by key then need no shuffle of the many more and longer word rows.
     """
-    found = df.select(key, masked(text).alias("_t"))
+    found = df.select(key, F.col(text).alias("_t")).where(F.regexp_like("_t", F.lit(r"[\p{L}\p{N}]"))).repartition(key).select(key, masked("_t").alias("_t"))
     zipped = F.arrays_zip(F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("word"), F.split("_t", WORD, -1).alias("before"), F.slice(F.split("_t", WORD, -1), 2, 2**31 - 1).alias("gap"))
     each = found.select(key, F.posexplode(zipped).alias("idx", "z")).where(F.col("z.word").isNotNull()).select(key, "idx", "z.word", "z.before", "z.gap")
     upto = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -82,17 +85,21 @@ def expanded(w: DataFrame, key: str) -> DataFrame:
     return w.select(key, "idx", F.posexplode(parts).alias("part", "token"))
 
 
-def phrase_positions(w: DataFrame, key: str, phrases: DataFrame, phrase_key: str, most: int = 16) -> DataFrame:
-    """All places of phrases of up to ``most`` words: ``phrase_key, key, start_token``.
+def phrase_positions(w: DataFrame, key: str, phrases: DataFrame, phrase_key: str) -> DataFrame:
+    """All places of phrases of any number of words: ``phrase_key, key, start_token``.
 
-    ``phrases``: ``phrase_key, tokens`` (lower case). Words meet phrases on the first token; the rest is compared in the window
-    of words that follows, so no text is searched once per phrase. Null, empty and longer phrases are not found.
+    ``phrases``: ``phrase_key, tokens`` (lower case). Words meet phrases on their first token; only at those places the other tokens
+    are asked for, each as a row that meets the word at its place, and a place counts if all are met. So no text is searched once per
+    phrase, and what is shuffled follows the places that begin like a phrase. Null and empty phrases and null tokens are not found.
     """
-    order = Window.partitionBy(key).orderBy("idx").rowsBetween(0, most - 1)
-    ahead = w.select(key, "idx", F.lower("word").alias("_first"), F.collect_list(F.lower("word")).over(order).alias("_ahead"))
-    asked = phrases.where((F.size("tokens") > 0) & (F.size("tokens") <= most)).select(phrase_key, "tokens", F.col("tokens")[0].alias("_first"))
-    met = ahead.join(asked, "_first").where(F.slice("_ahead", F.lit(1), F.size("tokens")) == F.col("tokens"))
-    return met.select(phrase_key, key, F.col("idx").alias("start_token"))
+    plain = w.select(key, "idx", F.lower("word").alias("_token"))
+    asked = phrases.where((F.size("tokens") > 0) & ~F.exists("tokens", lambda t: t.isNull())).select(phrase_key, "tokens", F.col("tokens")[0].alias("_token"))
+    begun = plain.join(asked, "_token").select(phrase_key, key, F.col("idx").alias("start_token"), "tokens")
+    single = begun.where(F.size("tokens") == 1).select(phrase_key, key, "start_token")
+    rest = begun.where(F.size("tokens") > 1).select(phrase_key, key, "start_token", (F.size("tokens") - 1).alias("_left"), F.posexplode(F.slice("tokens", F.lit(2), F.size("tokens") - 1)).alias("_i", "_token"))
+    rest = rest.withColumn("idx", F.col("start_token") + F.col("_i") + 1).drop("_i")
+    met = rest.join(plain, [key, "idx", "_token"]).groupBy(phrase_key, key, "start_token", "_left").count().where(F.col("count") == F.col("_left"))
+    return single.unionByName(met.select(phrase_key, key, "start_token"))
 
 
 def attested(w: DataFrame, key: str, labels: DataFrame) -> DataFrame:
@@ -121,37 +128,49 @@ def normal_words(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else normalized_words(t))
 
 
+def _pieces(texts: list[str | None]) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """Words of all texts and where each text's begin; their pieces with contractions written out, and the word that each comes from."""
+    words, first, pieces, owner = [], [0], [], []
+    for text in texts:
+        for word in normalized_words(text or ""):
+            parts = EXPANSIONS.get(word, word).split(" ")
+            owner += [len(words)] * len(parts)
+            pieces += parts
+            words.append(word)
+        first.append(len(words))
+    return words, np.array(first), pieces, np.array(owner, np.int64)
+
+
 def aligned(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """Word-by-word alignment of two texts of a row: ``key, idx, word, status, right_idx``.
 
-    Both are normalised and contractions written out; matching blocks give the pairs. ``exact`` if a word meets one equal word,
-    ``normalized`` if all its parts are met otherwise, else ``unresolved`` with a null ``right_idx``. Null texts have no words.
+    Both are normalised and contractions written out, and a minimal edit of the pieces tells which stayed. ``exact`` if a word's pieces stayed within
+    one equal word, ``normalized`` if they stayed otherwise, else ``unresolved`` with a null ``right_idx``. Null texts have no words.
+    Pieces of a whole batch lie in one array, so a word's status comes from minima and maxima over its stretch.
     """
     schema = T.StructType([df.schema[key], *(T.StructField(n, t) for n, t in (("idx", T.IntegerType()), ("word", T.StringType()), ("status", T.StringType()), ("right_idx", T.IntegerType())))])
 
-    def parts(text: str | None) -> tuple[list[str], list[str], list[int]]:
-        plain = normalized_words(text or "")
-        flat, owner = [], []
-        for i, word in enumerate(plain):
-            for piece in EXPANSIONS.get(word, word).split(" "):
-                flat.append(piece)
-                owner.append(i)
-        return plain, flat, owner
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, a, b in zip(batch[key], batch[left], batch[right], strict=True):
-                (aw, af, ao), (bw, bf, bo) = parts(a), parts(b)
-                met: dict[int, list[int]] = {}
-                for block in difflib.SequenceMatcher(None, af, bf, autojunk=False).get_matching_blocks():
-                    for i in range(block.size):
-                        met.setdefault(ao[block.a + i], []).append(bo[block.b + i])
-                for i, word in enumerate(aw):
-                    hits = met.get(i, [])
-                    whole = len(hits) == ao.count(i) and bool(hits)
-                    status = "unresolved" if not whole else "exact" if len(set(hits)) == 1 and bw[hits[0]] == word else "normalized"
-                    rows.append((k, i, word, status, hits[0] if whole else None))
-            yield pd.DataFrame(rows, columns=schema.names).astype({"right_idx": "Int32", "idx": "int32"})
-
-    return df.select(key, left, right).mapInPandas(run, schema)
+            a_words, a_first, a_pieces, a_owner = _pieces(batch.column(1).to_pylist())
+            b_words, b_first, b_pieces, b_owner = _pieces(batch.column(2).to_pylist())
+            stayed = np.full(len(a_pieces), -1, np.int64)
+            a_cut, b_cut = np.searchsorted(a_owner, a_first), np.searchsorted(b_owner, b_first)
+            for row in range(batch.num_rows):
+                edit = difflib.SequenceMatcher(None, a_pieces[a_cut[row] : a_cut[row + 1]], b_pieces[b_cut[row] : b_cut[row + 1]], autojunk=False)
+                for kind, i, j, k, _ in edit.get_opcodes():
+                    if kind == "equal":
+                        stayed[a_cut[row] + i : a_cut[row] + j] = b_owner[b_cut[row] + k : b_cut[row] + k + j - i]
+            row_of = np.repeat(np.arange(batch.num_rows), np.diff(a_first))
+            status, right_at = np.zeros(0, object), np.zeros(0, np.int64)
+            if a_words:
+                stretch = np.searchsorted(a_owner, np.arange(len(a_words)))
+                least, most = np.minimum.reduceat(stayed, stretch), np.maximum.reduceat(stayed, stretch)
+                same = np.array([k >= 0 and a_words[i] == b_words[k] for i, k in enumerate(least.tolist())])
+                status = np.where(least < 0, "unresolved", np.where((least == most) & same, "exact", "normalized"))
+                right_at = least - b_first[row_of]
+            gone = status == "unresolved"
+            columns = [batch.column(0).take(pa.array(row_of)), pa.array((np.arange(len(a_words)) - a_first[row_of]).astype(np.int32)), pa.array(a_words, pa.string()), pa.array(status.tolist(), pa.string()), pa.array(right_at.astype(np.int32), mask=np.asarray(gone, bool))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.select(key, left, right).mapInArrow(run, schema)

@@ -1,3 +1,5 @@
+import difflib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -97,6 +99,34 @@ def test_units_and_words(spark):
     assert sorted((r["k"], r["word"], r["status"]) for r in text.aligned(pairs, "k", "a", "b").collect()) == [(1, "go", "exact"), (1, "gonna", "normalized"), (1, "i'm", "normalized"), (3, "strasse", "exact")]
 
 
+def test_alignment_against_blocks(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["gonna", "going", "to", "can't", "can", "not", "a", "b", "cannot"]
+    rows = [(k, " ".join(rng.choice(vocabulary, rng.integers(0, 9))), " ".join(rng.choice(vocabulary, rng.integers(0, 9)))) for k in range(60)]
+    want = set()
+    for k, a, b in rows:
+        flat = [[(p, i) for i, w in enumerate(x.split()) for p in text.EXPANSIONS.get(w, w).split()] for x in (a, b)]
+        blocks = difflib.SequenceMatcher(None, [p for p, _ in flat[0]], [p for p, _ in flat[1]], autojunk=False).get_matching_blocks()
+        pairs = {m.a + d: flat[1][m.b + d][1] for m in blocks for d in range(m.size)}
+        for i, w in enumerate(a.split()):
+            met = [pairs.get(n) for n, (_, own) in enumerate(flat[0]) if own == i]
+            if None in met:
+                want.add((k, i, w, "unresolved", None))
+            else:
+                want.add((k, i, w, "exact" if len(set(met)) == 1 and b.split()[met[0]] == w else "normalized", met[0]))
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    assert {tuple(r) for r in text.aligned(df, "k", "a", "b").collect()} == want
+    assert text.aligned(df.limit(0), "k", "a", "b").collect() == []
+
+
+def test_long_phrases(spark):
+    long = [f"w{i % 7}" for i in range(40)]
+    docs = spark.createDataFrame([(1, "x " + " ".join(long) + " end"), (2, " ".join(long[:39])), (3, "a a a"), (4, None)], "k int, text string")
+    phrases = spark.createDataFrame([("long", long), ("twice", ["a", "a"]), ("one", ["end"]), ("none", []), ("null", None), ("odd", ["a", None])], "p string, tokens array<string>")
+    got = text.phrase_positions(text.words(docs, "k"), "k", phrases, "p")
+    assert {tuple(r) for r in got.collect()} == {("long", 1, 1), ("twice", 3, 0), ("twice", 3, 1), ("one", 1, 41)}
+
+
 def test_query_language(spark, data):
     for bad in ({"op": "no"}, {"op": "role", "event": "e"}, {"op": "role", "event": "e", "role": "r", "x": 1}, {"op": "compose", "event": "e", "steps": [{"op": "role"}]}):
         with pytest.raises(ValueError):
