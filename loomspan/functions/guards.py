@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 
 from pyspark.sql import DataFrame
@@ -64,11 +63,21 @@ def declared_groups(known: set[str], comparison: str | None = None, profiles: di
     return sorted(groups)
 
 
-def numeric_slots(value: float, slots: int = 8) -> list[float]:
-    """A number as signed log1p in the slot of its digest, 0 elsewhere; what is not finite gives zeros."""
+def numeric_slots(value: object, path: str = "value", slots: int = 8) -> list[float]:
+    """The numbers of a JSON value as signed log1p, each added to the slot of its path, so all values of one field share a slot.
+
+    Members are joined by dots and array places written in brackets. Booleans and what is not finite count for nothing.
+    """
     out = [0.0] * slots
-    if math.isfinite(value):
-        out[int(hashlib.sha256(json.dumps(value).encode()).hexdigest(), 16) % slots] = math.copysign(math.log1p(abs(value)), value)
+    todo = [(path, value)]
+    while todo:
+        at, node = todo.pop()
+        if isinstance(node, dict):
+            todo.extend((f"{at}.{k}", v) for k, v in node.items())
+        elif isinstance(node, list):
+            todo.extend((f"{at}[{i}]", v) for i, v in enumerate(node))
+        elif isinstance(node, (int, float)) and not isinstance(node, bool) and math.isfinite(node):
+            out[int(hashlib.sha256(at.encode()).hexdigest(), 16) % slots] += math.copysign(math.log1p(abs(node)), node)
     return out
 
 

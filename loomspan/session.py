@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -17,6 +18,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -48,19 +50,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder for checkpoints and intermediate tables: that of ``spark.checkpoint.dir``.
+
+    Where nothing is set a temporary one is made, but only if driver and executors are one process; on a cluster that raises.
+    """
+    context = spark.sparkContext
+    if found := context.getConf().get("spark.checkpoint.dir"):
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _temporary:
+        _temporary[context.applicationId] = tempfile.mkdtemp(prefix="loomspan-")
+    return _temporary[context.applicationId]
+
+
+_temporary: dict[str, str] = {}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in reliable storage, so that a lost executor costs no earlier round.
+    """Cut lineage in the shared folder, so that a lost executor costs no earlier round.
 
-    The directory comes from ``spark.checkpoint.dir`` of the session. Only where nothing is set, as in
-    tests on one machine, a temporary folder is used.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` the files go when the frame does.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomspan-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+_held: list[DataFrame] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Cache for reuse within one query; partitions that do not fit go to disk and are recomputed if lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Cache for reuse within one query; partitions that do not fit go to disk and are recomputed if lost. ``release`` gives it back."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _held.append(held)
+    return held
+
+
+def release() -> int:
+    """Give back all that ``kept`` holds, once a query's result is written; returns how many frames that were."""
+    count = 0
+    while _held:
+        _held.pop().unpersist()
+        count += 1
+    return count

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomspan.session import shared_root
+
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data directory as a stream of its files."""
@@ -24,9 +26,8 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder that all executors see: below the session's checkpoint directory, or a temporary one where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomspan-")
-    return f"{root}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder that all executors see, below the session's checkpoint directory."""
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def gap_blocked(units: DataFrame, key: str, index: str) -> DataFrame:
@@ -55,23 +56,24 @@ def gap_blocked(units: DataFrame, key: str, index: str) -> DataFrame:
 def append_validated(records: DataFrame, key: str, index: str, identity: str) -> DataFrame:
     """Append records to each key's history and tell of every one whether it is new: ``key, index, id, verdict``.
 
-    ``appended`` the first time, ``repeated`` if the same id came in the same unit before, ``conflict`` if it came in another unit. The state holds the ids of
-    a key with their unit.
+    ``appended`` the first time, ``repeated`` if the same id came in the same unit before, ``conflict`` if it came in another unit. The
+    state is one unit for each id of a key, so a batch touches only the ids that it brings, however long a history is.
     """
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, units = state.get if state.exists else ([], [])
-        known = dict(zip(ids, units, strict=True))
+        first = state.get[0] if state.exists else None
+        units: list[int] = []
+        verdicts: list[str] = []
         for frame in frames:
-            verdicts = []
-            for i, unit in zip(frame[identity], frame[index], strict=True):
-                verdict = "appended" if i not in known else "repeated" if known[i] == unit else "conflict"
-                known.setdefault(i, unit)
-                verdicts.append((keys[0], unit, i, verdict))
-            yield pd.DataFrame(verdicts, columns=[key, index, "id", "verdict"])
-        state.update((list(known.keys()), list(known.values())))
+            for unit in frame[index]:
+                verdicts.append("appended" if first is None else "repeated" if first == unit else "conflict")
+                first = unit if first is None else first
+                units.append(unit)
+        state.update((int(first),))
+        yield pd.DataFrame({key: [keys[0]] * len(units), index: pd.array(units, "int32"), "id": [keys[1]] * len(units), "verdict": verdicts})
 
-    return records.select(key, index, identity).groupBy(key).applyInPandasWithState(run, f"{key} string, {index} int, id string, verdict string", "ids array<string>, units array<int>", "append", GroupStateTimeout.NoTimeout)
+    known = records.select(key, index, identity).where(F.col(index).isNotNull())
+    return known.groupBy(key, identity).applyInPandasWithState(run, f"{key} string, {index} int, id string, verdict string", "unit int", "append", GroupStateTimeout.NoTimeout)
 
 
 def binned(events: DataFrame, time: str, width: str, by: str, value: str, late: str) -> DataFrame:
@@ -80,13 +82,17 @@ def binned(events: DataFrame, time: str, width: str, by: str, value: str, late:
 
 
 def run_to_table(streamed: DataFrame, mode: str, purpose: str) -> DataFrame:
-    """Run a stream over all that is there now, to a table in the shared folder, and read it."""
+    """Run a stream over all that is there now, to a table in the shared folder, and read it.
+
+    Each batch has a folder of its own number, which a batch that is tried again overwrites; in complete mode there is one for all.
+    """
     spark = streamed.sparkSession
     target = shared_folder(spark, purpose)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{target}/rows")
+        batch.write.mode("overwrite").parquet(f"{target}/rows/batch={0 if mode == 'complete' else number}")
 
     query = streamed.writeStream.outputMode(mode).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(streamed.schema).parquet(f"{target}/rows")
+    whole = T.StructType([*streamed.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(whole).parquet(f"{target}/rows").select(*streamed.columns)

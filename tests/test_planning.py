@@ -1,3 +1,4 @@
+import math
 import pytest
 
 from loomspan.functions import guards
@@ -24,6 +25,8 @@ def test_guards(spark):
         with pytest.raises(ValueError):
             guards.declared_groups({"B", "C"}, **bad)
     assert sum(map(abs, guards.numeric_slots(-3.0))) > 0 > sum(guards.numeric_slots(-3.0)) and not any(guards.numeric_slots(float("nan")))
+    assert guards.numeric_slots(1.0, "a").index(guards.numeric_slots(1.0, "a")[0] or math.log1p(1)) == guards.numeric_slots(3.0, "a").index(math.log1p(3))
+    assert sorted(guards.numeric_slots({"a": [1, True, "x"], "b": None}))[-1] == math.log1p(1)
     assert guards.walltime_seconds("1-00:01:02") == 86462 and guards.walltime_seconds("03:58") == 238
 
 
