@@ -68,11 +68,12 @@ def explode_leaves(df: DataFrame, column: str, drop: str = "id") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def apply_changes(decisions: DataFrame) -> DataFrame:
+def apply_changes(decisions: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """State after the last change, one row per field of each record that is left.
 
     ``decisions`` has ``decision_id, unit_id, revision, operations``; other columns are ignored, whatever their
-    names. Result: ``unit_id, record_id, field, value, revision`` with the revision that gave the present value.
+    names. ``base``, an earlier result, is what the feed is merged into: its records are there before the first change; without it the state starts empty.
+    Result: ``unit_id, record_id, field, value, revision`` with the revision that gave the present value.
 
     Only the last ``add`` or ``remove`` of a record decides whether it is there and from where its fields
     count, so no replay is needed: the newest life-cycle operation per record is found by a window rank, then the
@@ -82,7 +83,8 @@ def apply_changes(decisions: DataFrame) -> DataFrame:
     Defined cases: repeated deliveries of a decision (same ``decision_id``) count once; null ``operations``, null
     elements and null or unknown ``op`` or ``id`` do nothing; ``set`` with a null field does nothing; ``add`` whose value is not
     a JSON object begins a record without fields, which gives no row; a null revision sorts before all others;
-    equal revisions of one unit go by ``decision_id``. An empty feed gives an empty state.
+    equal revisions of one unit go by ``decision_id``. An empty feed gives the base, without one an empty state; base rows with a null record or field are ignored,
+    repeated ones count once; a record without any field leaves no row, so a base does not hold it.
     """
     steps = (
         decisions.select(
@@ -105,7 +107,13 @@ def apply_changes(decisions: DataFrame) -> DataFrame:
     record = ["unit_id", "record_id"]
 
     # A repeated decision gives equal places in the log, of which the rank keeps one: dedupe and latest-per-key in one pass.
-    lives = _latest(steps.where(F.col("op") != "set").select(*record, "op", "at", "revision", "value"), record)
+    changes = steps.where(F.col("op") != "set").select(*record, "op", "at", "revision", "value")
+    columns = [*record, "field", "value", "at", "revision"]
+    if base is not None:
+        before = F.struct(F.lit(-(2**31)).alias("r"), F.lit(-(2**63)).alias("d"), F.lit(-1).alias("pos"))
+        held = base.where(F.col("record_id").isNotNull() & F.col("field").isNotNull()).select(*record, "field", "value", before.alias("at"), F.col("revision").cast("int").alias("revision"))
+        changes = changes.unionByName(held.select(*record, F.lit("add").alias("op"), "at", F.lit(None).cast("int").alias("revision"), F.lit(None).cast("string").alias("value")))
+    lives = _latest(changes, record)
     born = lives.where(F.col("op") == "add")
     first = explode_leaves(born.select(*record, "at", "revision", "value"), "value")
     born_at = born.select(F.col("unit_id").alias("u"), F.col("record_id").alias("k"), F.col("at").alias("born"))
@@ -115,8 +123,11 @@ def apply_changes(decisions: DataFrame) -> DataFrame:
         .where(F.col("at") > F.col("born"))
         .drop("u", "k", "born")
     )
-    columns = [*record, "field", "value", "at", "revision"]
-    state = _latest(first.select(columns).unionByName(later.select(columns)), [*record, "field"])
+    parts = first.select(columns).unionByName(later.select(columns))
+    if base is not None:
+        still = born_at.where(F.col("born.pos") < 0).select("u", "k")
+        parts = parts.unionByName(held.join(still, F.col("unit_id").eqNullSafe(F.col("u")) & (F.col("record_id") == F.col("k")), "left_semi").select(columns))
+    state = _latest(parts, [*record, "field"])
     return state.select(*record, "field", "value", "revision")
 
 

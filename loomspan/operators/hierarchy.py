@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +14,11 @@ from pyspark.sql import types as T
 from loomspan.operators.skew import skew_join
 from loomspan.session import checkpointed, kept
 
-#: Positions along a scope that one local group spans; it bounds the rows of a group however large its scope is.
+#: Positions along a scope that one local group spans.
 CHUNK_SPAN = 1000
+#: Rows that are worked on together: whole groups until they have so many, and never more than four times as many, so a task's
+#: memory does not follow the data. A group that is cut only costs a further round.
+BUNDLE = 50_000
 
 _OUT = T.StructType(
     [
@@ -28,7 +32,8 @@ _OUT = T.StructType(
 def links(df: DataFrame, key: str, parents: str, scope: str, position: Column | None = None) -> DataFrame:
     """Nodes with their known parents: ``id, scope, chunk, parents``, one row per id.
 
-    ``position`` orders the rows of a scope; near positions are worked on together. Rows without it are spread by hash.
+    ``position`` orders the rows of a scope; near positions are worked on together, and rows without one are spread by hash. Where no order is
+    known (None) nodes are grouped by the top of their chain of first parents and by their distance from it instead.
     Null ids give no node, null and unknown parents no link, repeated ones one.
     """
     near = F.lit(None).cast("long") if position is None else position.cast("long")
@@ -41,7 +46,32 @@ def links(df: DataFrame, key: str, parents: str, scope: str, position: Column |
     named = rows.select("id", F.explode("parents").alias("parent")).where(F.col("parent").isNotNull()).distinct()
     known = skew_join(named, nodes.select(F.col("id").alias("parent")), ["parent"], "left_semi")
     held = known.groupBy("id").agg(F.collect_list("parent").alias("parents"))
-    return nodes.join(held, "id", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
+    linked = nodes.join(held, "id", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
+    return linked if position is not None else _grouped_by_chain(linked)
+
+
+def _grouped_by_chain(nodes: DataFrame) -> DataFrame:
+    """Give nodes the top of their chain of first parents as scope, and the stretch of that chain in which they lie as chunk.
+
+    Chains are followed by doubling, so rounds follow the logarithm of the depth; what never reaches a top is on a loop of first parents or below one.
+    A group of more than BUNDLE rows is split by hash.
+    """
+    nodes = checkpointed(nodes)
+    first = F.array_min("parents")
+    at = checkpointed(nodes.select("id", F.coalesce(first, "id").alias("up"), first.isNotNull().cast("long").alias("hops"), first.isNull().alias("done")))
+    left = at.where("NOT done").count()
+    while left:
+        further = at.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops"), F.col("done").alias("_done"))
+        moved = skew_join(at.where("NOT done"), further, ["up"]).select("id", F.col("_up").alias("up"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_done").alias("done"))
+        at = checkpointed(at.where("done").unionByName(moved))
+        before, left = left, at.where("NOT done").count()
+        if left == before:
+            break
+    placed = at.select("id", F.col("up").alias("scope"), F.when(F.col("done"), F.floor(F.col("hops") / CHUNK_SPAN)).otherwise(-1).alias("band"))
+    crowded = placed.groupBy("scope", "band").count().where(F.col("count") > BUNDLE).withColumnRenamed("count", "_n")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("_n", F.lit(1)) / BUNDLE))
+    chunk = placed.join(crowded, ["scope", "band"], "left").select("id", "scope", (F.col("band") * 1_000_003 + part).cast("long").alias("chunk"))
+    return nodes.select("id", "parents").join(chunk, "id").select("id", "scope", "chunk", "parents")
 
 
 def peel(n: int, node: np.ndarray, waits_for: np.ndarray) -> np.ndarray:
@@ -92,12 +122,12 @@ def sweep(names: list[str], node: np.ndarray, source: np.ndarray, blocked: np.nd
 
     ``node`` takes values from ``source`` over each link. ``blocked`` nodes also wait for something elsewhere;
     ``given`` holds values (node, label text, steps) that arrived from elsewhere, steps already counted. The order is
-    that of leaf peeling: for ``below`` (descendants, sent from the leaves up) as it is, for ``roots`` and ``paths``
+    that of leaf peeling: for ``peeled`` (nothing is sent, only who can be peeled is told) as it is, for ``roots``, ``above`` and ``paths``
     reversed. In reverse, the residual of the leaf peeling (loops and all that is above one) is peeled from its other
     end first, so that what is only above a loop still gets its values.
     """
     n = len(names)
-    if mode == "below":
+    if mode == "peeled":
         rank = peel(n, node, source)
     else:
         leaf = peel(n, source, node)
@@ -130,7 +160,7 @@ def sweep(names: list[str], node: np.ndarray, source: np.ndarray, blocked: np.nd
         waits |= np.isin(group, open_owner)
         ready = np.sort(group[~waits])
         done[ready] = True
-        take = np.isin(owner, ready)
+        take = np.isin(owner, ready) if mode != "peeled" else np.zeros(len(owner), bool)
         owner, froms = owner[take], sources[links_at][take]
         picked = _ranges(values.start[froms], values.stop[froms])
         size = values.stop[froms] - values.start[froms]
@@ -141,7 +171,7 @@ def sweep(names: list[str], node: np.ndarray, source: np.ndarray, blocked: np.nd
             first = len(labels)
             labels.extend(f"{labels[k]}/{names[i]}" for i, k in zip(to, label, strict=True))
             label = np.arange(first, len(labels))
-        own = ready if mode == "below" else np.setdiff1d(ready, to)
+        own = ready if mode in ("peeled", "above") else np.setdiff1d(ready, to)
         to, label, steps = np.r_[to, own], np.r_[label, own], np.r_[steps, np.zeros(len(own), np.int64)]
         place = np.lexsort((steps, label, to))
         to, label, steps = to[place], label[place], steps[place]
@@ -150,49 +180,66 @@ def sweep(names: list[str], node: np.ndarray, source: np.ndarray, blocked: np.nd
     return done, values, labels
 
 
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by scope and chunk, as tables of whole groups of about BUNDLE rows; a larger group is cut."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < BUNDLE:
+            continue
+        table = pa.Table.from_batches(held)
+        same = pc.and_(pc.equal(pc.fill_null(table["scope"], ""), table["scope"][rows - 1].as_py() or ""), pc.equal(table["chunk"], table["chunk"][rows - 1]))
+        cut = int(np.flatnonzero(~np.asarray(same.combine_chunks()))[-1]) + 1 if not pc.all(same).as_py() else 0
+        if not cut and rows >= 4 * BUNDLE:
+            cut = rows
+        if cut:
+            yield table.slice(0, cut)
+            held, rows = table.slice(cut).to_batches(), rows - cut
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def _local(rows: DataFrame, mode: str) -> DataFrame:
-    """Sweep every partition as one local graph. A node that cannot be finished yet gives one row with null label."""
+    """Sweep bundles of groups as local graphs, in a sorted stream. A node that cannot be finished yet gives one row with null label."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not batches or not sum(b.num_rows for b in batches):
-            return
-        table = pa.Table.from_batches(batches)
+    def worked(table: pa.Table) -> Iterator[pa.RecordBatch]:
         names = table["id"].to_pylist()
         place = {name: i for i, name in enumerate(names)}
-        node, source, blocked = [], [], np.zeros(len(names), bool)
-        for i, froms in enumerate(table["froms"].to_pylist()):
-            for name in froms:
-                if name in place:
-                    node.append(i)
-                    source.append(place[name])
-                else:
-                    blocked[i] = True
-        given = ([], [], [])
-        for i, pairs in enumerate(table["given"].to_pylist()):
-            for pair in pairs or ():
-                given[0].append(i)
-                given[1].append(pair["label"])
-                given[2].append(pair["steps"])
-        done, values, labels = sweep(names, np.array(node, np.int64), np.array(source, np.int64), blocked, given, mode)
+        froms = table["froms"].combine_chunks()
+        owner = np.asarray(pc.list_parent_indices(froms), np.int64)
+        source = np.array([place.get(name, -1) for name in pc.list_flatten(froms).to_pylist()], np.int64)
+        blocked = np.zeros(len(names), bool)
+        blocked[owner[source < 0]] = True
+        arrived = table["given"].combine_chunks()
+        values_in = pc.list_flatten(arrived)
+        given = (np.asarray(pc.list_parent_indices(arrived), np.int64), values_in.field("label").to_pylist(), np.asarray(values_in.field("steps"), np.int64))
+        done, values, labels = sweep(names, owner[source >= 0], source[source >= 0], blocked, given, mode)
         ready = np.flatnonzero(done)
         picked = _ranges(values.start[ready], values.stop[ready])
-        owner = np.repeat(ready, values.stop[ready] - values.start[ready])
+        to = np.repeat(ready, values.stop[ready] - values.start[ready])
         rest = np.flatnonzero(~done)
-        ids = pa.array(names, pa.string()).take(pa.array(np.r_[owner, rest]))
-        label = pa.array(labels, pa.string()).take(pa.array(np.r_[values.label[picked], np.full(len(rest), -1)], mask=np.r_[np.zeros(len(picked), bool), np.ones(len(rest), bool)]))
-        steps = pa.array(np.r_[values.steps[picked], np.zeros(len(rest), np.int64)].astype(np.int32), mask=np.r_[np.zeros(len(picked), bool), np.ones(len(rest), bool)])
+        ids = pa.array(names, pa.string()).take(pa.array(np.r_[to, rest]))
+        unknown = np.r_[np.zeros(len(picked), bool), np.ones(len(rest), bool)]
+        label = pa.array(labels, pa.string()).take(pa.array(np.r_[values.label[picked], np.full(len(rest), -1)], mask=unknown))
+        steps = pa.array(np.r_[values.steps[picked], np.zeros(len(rest), np.int64)].astype(np.int32), mask=unknown)
         yield from pa.Table.from_arrays([ids, label, steps], names=_OUT.names).to_batches(max_chunksize=100_000)
 
-    return rows.select("id", "scope", "chunk", "froms", "given").repartition("scope", "chunk").mapInArrow(run, _OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _bundles(batches):
+            yield from worked(table)
+
+    spread = rows.select("id", "scope", "chunk", "froms", "given").repartition("scope", "chunk").sortWithinPartitions("scope", "chunk")
+    return spread.mapInArrow(run, _OUT)
 
 
 def spread_values(nodes: DataFrame, mode: str) -> DataFrame:
     """Values of all nodes: ``id, label, steps``; one row with null label for a node that can never be finished.
 
     ``nodes``: ``id, scope, chunk, froms``, where ``froms`` names the nodes that a node takes values from, none unknown. Modes:
-    ``roots`` (label a root, steps the fewest links to it), ``paths`` (label a path from a root), ``below`` (label a node
-    itself or below it).
+    ``roots`` (label a root, steps the fewest links to it), ``paths`` (label a path from a root), ``above`` (label the node
+    itself or one above it), ``peeled`` (label the node itself).
 
     Every round works through each local group as far as it comes, whole hierarchies at a time, and hands values over
     group borders to the next round; rounds follow border crossings, not depth. The first that finishes nothing leaves
@@ -239,21 +286,52 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """Every path from a root down to every node: ``id, path, depth``, ids joined by ``/``; nothing for what ``hierarchy`` calls a cycle."""
+    """Every path from a root down to every node: ``id, path, depth``, ids joined by ``/``; nothing for what ``hierarchy`` calls a cycle.
+
+    Where nodes have several parents, paths can be exponentially many; ``ancestors`` has the same nodes once each.
+    """
     found = spread_values(nodes.withColumnRenamed("parents", "froms"), "paths")
     return found.where(F.col("label").isNotNull()).select("id", F.col("label").alias("path"), F.col("steps").alias("depth"))
 
 
+def _without_loops_below(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes on or above a loop (``id``), and the others with the parents among them.
+
+    Leaf peeling leaves exactly the former. First what ``hierarchy`` cannot finish is taken (loops and all below); only that small rest is
+    peeled from its leaves, and what is left of it, with all above, is on or above a loop.
+    """
+    nodes = checkpointed(nodes)
+    lists = checkpointed(spread_values(nodes.withColumnRenamed("parents", "froms"), "above"))
+    stuck = lists.where("label IS NULL").select("id")
+    inner = nodes.join(stuck, "id", "left_semi")
+    pairs = inner.select("id", F.explode("parents").alias("parent"))
+    within = pairs.join(stuck.select(F.col("id").alias("parent")), "parent", "left_semi")
+    children = within.groupBy(F.col("parent").alias("id")).agg(F.collect_list(within["id"]).alias("froms"))
+    upward = inner.select("id", "scope", "chunk").join(children, "id", "left").withColumn("froms", F.coalesce("froms", F.array().cast("array<string>")))
+    core = checkpointed(spread_values(upward, "peeled").where("label IS NULL").select("id"))
+    over = pairs.join(core, "id", "left_semi").select(F.col("parent").alias("id"))
+    higher = lists.where("label IS NOT NULL").join(over.distinct(), "id", "left_semi").select(F.col("label").alias("id"))
+    looped = checkpointed(core.union(higher).distinct())
+    fine = nodes.join(looped, "id", "left_anti")
+    known = fine.select("id", F.explode("parents").alias("parent")).join(looped.select(F.col("id").alias("parent")), "parent", "left_anti").groupBy("id").agg(F.collect_list("parent").alias("parents"))
+    return looped, fine.drop("parents").join(known, "id", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """All nodes above every node: ``id, ancestor, distance`` (the fewest links), each node with itself at 0; null and -1 on or below a loop."""
+    found = spread_values(nodes.withColumnRenamed("parents", "froms"), "above")
+    return found.select("id", F.col("label").alias("ancestor"), F.coalesce("steps", F.lit(-1)).alias("distance"))
+
+
 def descendants(nodes: DataFrame) -> DataFrame:
     """All nodes below every node: ``id, descendant, distance`` (the fewest links), each node with itself at 0.
 
-    A node on a loop, or with one anywhere below it, has one row with a null descendant and distance -1.
+    A node on a loop, or with one anywhere below it, has one row with a null descendant and distance -1. Every node carries the nodes above it, as
+    many as it is deep, and each of these tells one row; so no task and no row holds all that is below a root.
     """
-    ids = nodes.select("id", "scope", "chunk")
-    children = nodes.select(F.explode("parents").alias("id"), F.col("id").alias("child")).groupBy("id").agg(F.collect_list("child").alias("froms"))
-    upward = ids.join(children, "id", "left").withColumn("froms", F.coalesce("froms", F.array().cast("array<string>")))
-    found = spread_values(upward, "below")
-    return found.select("id", F.col("label").alias("descendant"), F.coalesce("steps", F.lit(-1)).alias("distance"))
+    looped, fine = _without_loops_below(nodes)
+    found = ancestors(fine).select(F.col("ancestor").alias("id"), F.col("id").alias("descendant"), "distance")
+    return found.unionByName(looped.select("id", F.lit(None).cast("string").alias("descendant"), F.lit(-1).alias("distance")))
 
 
 def subtree_sizes(below: DataFrame) -> DataFrame:

@@ -13,9 +13,11 @@ from loomspan.operators.nested import node_table
 from loomspan.operators.skew import skew_join
 from loomspan.session import kept
 
-#: Bits of the Bloom filter: 2**25 are 4 MiB, whatever the data. More keys raise the share of false positives, which the
-#: exact join then sorts out; results never depend on it. At 100 TB raise to 2**30 (128 MiB).
-BLOOM_BITS = 1 << 25
+#: Bits of the Bloom filter per parent key, by an approximate count of the keys; with four hash functions about one absent key in eighty passes.
+BLOOM_BITS_PER_KEY = 10
+#: Most bits, the bound of what is broadcast (2**29 are 64 MiB, for 53 million keys at that rate). More keys raise the share of absent keys that pass, which the
+#: exact join then sorts out; results never depend on it.
+BLOOM_MOST_BITS = 1 << 29
 BLOOM_HASHES = 4
 
 
@@ -32,8 +34,11 @@ class Bloom:
         self.words, self.bits, self.hashes = words, bits, hashes
 
     @classmethod
-    def build(cls, keys: DataFrame, hashed: str, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> Bloom:
-        """``bits`` must be a power of two. At most ``bits / 64`` words reach the driver."""
+    def build(cls, keys: DataFrame, hashed: str, bits: int | None = None, hashes: int = BLOOM_HASHES) -> Bloom:
+        """``bits`` must be a power of two; without them the filter is sized by the keys, up to BLOOM_MOST_BITS. At most ``bits / 64`` words reach the driver."""
+        if bits is None:
+            count = keys.agg(F.approx_count_distinct(hashed, 0.05)).first()[0]
+            bits = min(max(1 << (BLOOM_BITS_PER_KEY * count - 1).bit_length(), 1 << 12), BLOOM_MOST_BITS) if count else 1 << 12
         at = F.explode(F.array(*[_position(F.col(hashed), i, bits) for i in range(hashes)]))
         words = (
             keys.select(at.alias("at"))
@@ -70,7 +75,7 @@ class Bloom:
         return maybe(hashed)
 
 
-def orphans(references: DataFrame, parents: DataFrame, withdrawn: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
+def orphans(references: DataFrame, parents: DataFrame, withdrawn: DataFrame, bits: int | None = None) -> DataFrame:
     """References whose target is not there when the referring row is recorded.
 
     ``references``: ``ref_table, record_id, pos, scope, target, at``; null and blank targets are no references.
@@ -79,7 +84,7 @@ def orphans(references: DataFrame, parents: DataFrame, withdrawn: DataFrame, bit
     that fits in this order; period the month of ``at`` (null if that is).
 
     A Bloom filter of the parents proves most ``missing`` ones without a shuffle; only what it lets through takes part in the
-    exact join, in which hot targets are split. Its size is fixed, so false positives, not memory, grow with the data.
+    exact join, in which hot targets are split. It is sized by the number of keys, up to a bound; beyond, false positives grow, not memory.
 
     Defined cases: a null scope holds no records, so its references are missing; a parent without time is there always; a
     reference without time can only be missing; repeated rows count once; other columns are ignored, whatever their names; empty inputs give what follows from that.

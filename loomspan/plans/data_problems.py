@@ -19,6 +19,13 @@ def p2_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changefeed.apply_changes(table(spark, sf_dir, "decision"))
 
 
+def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p2_state, in two steps: the state after the third revision is the base into which the later changes are merged."""
+    decisions = table(spark, sf_dir, "decision")
+    base = changefeed.apply_changes(decisions.where("revision <= 3"))
+    return changefeed.apply_changes(decisions.where("revision > 3"), base)
+
+
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, parents = references.story_references(*(table(spark, sf_dir, t) for t in ("draft", "mention", "relation", "identity_link")))
     gone = table(spark, sf_dir, "withdrawn_record").select(F.col("story_id").alias("scope"), F.col("record_id").alias("id"), F.col("withdrawn_utc").alias("at"))
@@ -107,6 +114,7 @@ down AS (SELECT up.p AS id, up.id AS below FROM up), badb AS (SELECT id FROM loo
 ORACLE = {
     "p2_found": _CHANGES + "SELECT unit_id, record_id, field, arg_max(revision, seq) AS revision FROM f GROUP BY unit_id, record_id, field",
     "p2_state": _CHANGES + "SELECT unit_id, record_id, field, arg_max(value, seq) AS value, arg_max(revision, seq) AS revision FROM f GROUP BY unit_id, record_id, field",
+    "p2_merged": _CHANGES + "SELECT unit_id, record_id, field, arg_max(value, seq) AS value, arg_max(revision, seq) AS revision FROM f GROUP BY unit_id, record_id, field",
     "p3_found": _REFS + "SELECT * FROM o",
     "p3_report": _REFS + "SELECT ref_table, period, reason, count(*) AS n_references, count(DISTINCT record_id) AS n_records FROM o GROUP BY ALL",
     "p4_found": _NODES,
@@ -116,4 +124,4 @@ ORACLE = {
     "p7_paths": _TREE + ", t AS (SELECT id, id AS path, 0 AS depth FROM ok WHERE id NOT IN (SELECT id FROM e) UNION ALL SELECT e.id, t.path || '/' || e.id, t.depth + 1 FROM t JOIN e ON e.p = t.id JOIN ok ON ok.id = e.id) SELECT id, path, depth FROM t",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_state, p3_found, p3_report, p4_found, p4_nodes, p7_found, p7_paths, p7_descendants, p7_sizes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_state, p2_merged, p3_found, p3_report, p4_found, p4_nodes, p7_found, p7_paths, p7_descendants, p7_sizes)}

@@ -43,6 +43,22 @@ def test_odd_rows(spark):
     assert found == {(None, "a", "x"): (None, 1), (None, "a", "l"): ('[1,{"y":2}]', 1), (None, "a", "b"): ("true", 1), ("u", "a", "x"): ("then", 1)}
 
 
+def test_merge_into_base(spark):
+    rows = [
+        (1, "u", 1, [op("add", "a", value={"x": "1", "y": "2"}), op("add", "b", value={"x": "1"}), op("add", "c", value={"x": "1"})]),
+        (2, "u", 2, [op("set", "a", "x", "3"), op("remove", "c")]),
+        (3, "u", 3, [op("set", "a", "y", "4"), op("remove", "b"), op("add", "c", value={"z": "5"}), op("set", "c", "z", "6")]),
+        (4, None, None, [op("add", "a", value={"x": "n"})]),
+    ]
+    frame = lambda part: spark.createDataFrame([(*r, "clash", "clash") for r in part], DECISION)
+    whole = {tuple(r) for r in apply_changes(frame(rows)).collect()}
+    for cut in range(5):
+        base = apply_changes(frame(rows[:cut]))
+        assert {tuple(r) for r in apply_changes(frame(rows[cut:]), base.union(base)).collect()} == whole
+    odd = spark.createDataFrame([("u", None, "x", "1", 1), ("u", "a", None, "1", 1), ("v", "k", "f", None, 7)], "unit_id string, record_id string, field string, value string, revision int")
+    assert [tuple(r) for r in apply_changes(frame([]), odd).collect()] == [("v", "k", "f", None, 7)]
+
+
 def test_empty_feed(spark):
     assert state(spark, []) == {}
 

@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.operators import hierarchy
 from loomspan.operators.graph import closure, equivalence_classes, waves
@@ -58,6 +59,49 @@ def test_chain_across_groups(spark, monkeypatch):
     assert sizes == {f"n{i:03d}": (119 - i, 119 - i) for i in range(120)}
 
 
+def test_chain_without_positions(spark, monkeypatch):
+    rounds = []
+    swept = hierarchy._local
+    monkeypatch.setattr(hierarchy, "_local", lambda rows, mode: rounds.append(mode) or swept(rows, mode))
+    parents = [(f"n{i:05d}", [f"n{i - 1:05d}"] if i else None) for i in range(10_000)]
+    random.Random(1).shuffle(parents)
+    found = {r["id"]: (r["root"], r["depth"]) for r in hierarchy.hierarchy(made(spark, parents, position=False)).collect()}
+    assert found == {f"n{i:05d}": ("n00000", i) for i in range(10_000)}
+    assert len(rounds) <= 10_000 // hierarchy.CHUNK_SPAN + 1
+
+
+def test_star(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "BUNDLE", 5_000)
+    df = spark.range(100_000).selectExpr("cast(id as string) id", "'s' story", "case when id = 0 then null else array('0') end parents")
+    for position in (None, F.lit(1)):
+        nodes = hierarchy.links(df, "id", "parents", "story", position)
+        assert [tuple(r) for r in hierarchy.hierarchy(nodes).groupBy("root", "depth").count().orderBy("depth").collect()] == [("0", 0, 1), ("0", 1, 99_999)]
+    sizes = hierarchy.subtree_sizes(hierarchy.descendants(nodes))
+    assert [tuple(r) for r in sizes.groupBy("n_descendants", "height").count().orderBy("height").collect()] == [(0, 0, 99_999), (99_999, 1, 1)]
+
+
+@pytest.mark.parametrize("seed", [3, 5])
+def test_descendants_against_walk(spark, seed, monkeypatch):
+    monkeypatch.setattr(hierarchy, "CHUNK_SPAN", 7)
+    monkeypatch.setattr(hierarchy, "BUNDLE", 5)
+    rng = random.Random(seed + 10)
+    names = [f"n{i:02d}" for i in range(50)]
+    parents = dict((n, [names[rng.randrange(i)] if i and rng.random() < 0.88 else rng.choice(names) for _ in range(rng.choice([0, 1, 1, 2]))]) for i, n in enumerate(names))
+    below = {n: {n: 0} for n in names}
+    for n in names:
+        queue = deque([n])
+        while queue:
+            x = queue.popleft()
+            for c in names:
+                if x in parents[c] and c not in below[n]:
+                    below[n][c] = below[n][x] + 1
+                    queue.append(c)
+    loops = {n for n in names if any(n in below[p] and p in below[n] and (p != n or n in parents[n]) for p in parents[n])}
+    want = {(n, d, k) for n in names if not loops & below[n].keys() for d, k in below[n].items()} | {(n, None, -1) for n in names if loops & below[n].keys()}
+    got = hierarchy.descendants(made(spark, list(parents.items()), position=seed == 3))
+    assert {tuple(r) for r in got.collect()} == want and loops
+
+
 def test_paths_and_loops(spark):
     parents = [("a", []), ("b", ["a"]), ("c", ["a", "b"]), ("x", ["y"]), ("y", ["x"]), ("z", ["x", "a"]), ("self", ["self"]), ("up", []), ("x2", ["x2", "up"]), (None, ["a"])]
     nodes = made(spark, parents)

@@ -61,3 +61,14 @@ def test_skewed_join_is_whole(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         want, got = (sorted(map(str, df.collect())) for df in (left.join(right, ["k"], how), skew_join(left, right, ["k"], how, hot_rows=100, salts=4)))
         assert got == want
+
+
+def test_filter_follows_the_keys(spark, monkeypatch):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    absent = np.array([r[0] for r in spark.range(20_000, 60_000).select(F.xxhash64("id").alias("h")).collect()])
+    bloom = references.Bloom.build(keys, "h")
+    assert bloom.bits == 1 << 18 and bloom.holds(np.array([r[0] for r in keys.collect()])).all() and bloom.holds(absent).mean() < 0.03
+    monkeypatch.setattr(references, "BLOOM_MOST_BITS", 1 << 13)
+    small = references.Bloom.build(keys, "h")
+    assert small.bits == 1 << 13 and small.holds(np.array([r[0] for r in keys.collect()])).all()
+    assert not references.Bloom.build(keys.limit(0), "h").holds(absent).any()
