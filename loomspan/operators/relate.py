@@ -57,17 +57,21 @@ def circular_shift(df: DataFrame, key: str, order: str, item: str, row: str, apa
     """Pair every item with the one at one offset further round its key: ``key, item, partner, offset``.
 
     The offset is the one nearest to half the length at which all pairs' rows differ by more than ``apart`` (the lesser of two as near). Keys with
-    no such offset give nothing. Offsets are tried per key over the rows as arrays, so only one key's rows meet.
+    no such offset give nothing. Items whose rows are too near meet by blocks of rows and forbid the offset between them; no key's items are held
+    together, and no offset is tried on items that it does not bring near. An item with a null row is near to none.
     """
-    listed = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, row, item))).alias("_s"))
-    n = F.size("_s")
-    fits = lambda k: F.forall(F.transform("_s", lambda s, i: F.abs(s[row] - F.element_at(F.col("_s"), F.pmod(i + k, n) + 1)[row])), lambda gap: gap > apart)
-    tried = F.filter(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), fits)
-    ranked = F.array_sort(F.transform(tried, lambda k: F.struct(F.abs(k - n / 2).alias("far"), k.alias("k"))))
-    chosen = listed.withColumn("_k", F.try_element_at(ranked, F.lit(1))["k"]).where("_k IS NOT NULL")
-    each = chosen.select(key, F.posexplode("_s").alias("_i", "_a"), "_s", F.col("_k").alias("offset"))
-    partner = F.element_at(F.col("_s"), F.pmod(F.col("_i") + F.col("offset"), F.size("_s")) + 1)
-    return each.select(key, F.col(f"_a.{item}").alias(item), partner[item].alias("partner"), "offset")
+    place = Window.partitionBy(key).orderBy(order, row, item)
+    sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
+    at = df.select(key, item, row, (F.row_number().over(place) - 1).cast("int").alias("_i")).join(sizes, key)
+    block = F.floor(F.col(row) / (apart + 1))
+    mine = at.select(key, "_n", "_i", F.col(row).alias("_r"), F.explode(F.array(block - 1, block, block + 1)).alias("_b"))
+    other = at.select(key, F.col("_i").alias("_j"), F.col(row).alias("_s"), block.alias("_b"))
+    near = mine.join(other, [key, "_b"]).where((F.col("_i") != F.col("_j")) & (F.abs(F.col("_r") - F.col("_s")) <= apart))
+    forbidden = near.select(key, F.pmod(F.col("_j") - F.col("_i"), F.col("_n").cast("int")).alias("offset")).distinct()
+    offsets = sizes.where("_n > 1").select(key, "_n", F.explode(F.sequence(F.lit(1), (F.col("_n") - 1).cast("int"))).alias("offset"))
+    chosen = offsets.join(forbidden, [key, "offset"], "left_anti").groupBy(key).agg(F.min_by("offset", F.struct(F.abs(F.col("offset") - F.col("_n") / 2), "offset")).alias("offset"))
+    shifted = at.join(chosen, key).select(key, item, "offset", F.pmod(F.col("_i") + F.col("offset"), F.col("_n").cast("int")).alias("_i"))
+    return shifted.join(at.select(key, "_i", F.col(item).alias("partner")), [key, "_i"]).select(key, item, "partner", "offset")
 
 
 def proportional(left: DataFrame, right: DataFrame, key: str, order: str, item: str) -> DataFrame:
