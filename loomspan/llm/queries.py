@@ -36,6 +36,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.tied_pairs(kept(_ties(spark, sf_dir)))
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every story with the least story that it is tied to and the number of stories tied together."""
+    return splits.tied_sizes(kept(_ties(spark, sf_dir))).select(F.col("record").alias("story_id"), F.col("label").alias("least_story"), F.col("n").alias("n_tied"))
+
+
 def p5_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split of every source record."""
     return splits.assign_splits(table(spark, sf_dir, "source_record"), _ties(spark, sf_dir), table(spark, sf_dir, "split_target"), "id", "story_id", "decoder_timing_eligible")
@@ -112,7 +117,7 @@ def p10_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_forms, p5_found, p5_assigned, p5_report, p6_found, p6_gaps, p8_ids, p8_spans, p8_round_trip, p9_mix, p9_shares, p10_found, p10_redacted, p10_terms)
+    for f in (p1_found, p1_forms, p5_found, p5_groups, p5_assigned, p5_report, p6_found, p6_gaps, p8_ids, p8_spans, p8_round_trip, p9_mix, p9_shares, p10_found, p10_redacted, p10_terms)
 }
 
 
@@ -123,6 +128,7 @@ _SCANS = """WITH r AS (SELECT DISTINCT id AS source_id, story_id, available_at_s
 p AS (SELECT source_id, raw, abs(c - t) AS gap, row_number() OVER (PARTITION BY source_id ORDER BY abs(c - t), raw) AS k FROM r JOIN s ON s.story_id = r.story_id AND c BETWEEN t - 0.9 AND t + 0.9)"""
 ORACLE = {
     "p5_found": _TIES + " SELECT DISTINCT a AS story_a, b AS story_b FROM c WHERE a < b",
+    "p5_groups": _TIES + ", w AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM c UNION ALL SELECT DISTINCT story_id, story_id FROM source_record WHERE story_id IS NOT NULL)) SELECT a AS story_id, min(b) AS least_story, count(*) AS n_tied FROM w GROUP BY a",
     "p6_found": _SCANS + " SELECT source_id, raw AS raw_row FROM p WHERE k = 1 AND gap <= 0.9",
     "p6_gaps": _SCANS + " SELECT source_id, raw AS raw_row, round(gap, 6) AS gap FROM p WHERE k = 1 AND gap <= 0.9",
 }

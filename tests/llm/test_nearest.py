@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from loomspan.llm import nearest
 
@@ -23,9 +24,12 @@ def run(spark, records, targets, tolerance=0.9):
     return {(x["source_id"], x["target"]) for x in nearest.nearest_in_time(r, t, tolerance).collect()}
 
 
-def test_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [nearest.DENSE_ROWS, 40])
+def test_against_brute_force(spark, monkeypatch, dense):
     rng = random.Random(3)
     monkeypatch.setattr(nearest, "SHARD_SECONDS", 16.0)
+    monkeypatch.setattr(nearest, "DENSE_ROWS", dense)
+    monkeypatch.setattr(nearest, "FINEST", 2)
     targets = [(f"e{rng.randrange(3)}", rng.choice([round(rng.uniform(-40, 200), 3), None, math.nan, math.inf]), i) for i in range(900)]
     records = [(f"r{i}", rng.choice(["e0", "e1", "e2", "e9", None]), rng.choice([round(rng.uniform(-50, 210), 3), 16.0, 32.0, None, math.nan])) for i in range(600)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
@@ -43,6 +47,16 @@ def test_against_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_dense_shard_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "DENSE_ROWS", 20_000)
+    t = spark.range(100_000).selectExpr("'e' entity", "id / 200.0 at", "cast(id as int) target")
+    r = spark.range(100_000).selectExpr("cast(id as string) source_id", "'e' entity", "id / 200.0 + 0.001 at")
+    got = nearest.nearest_in_time(r, t, 0.9)
+    assert got.where("cast(source_id as int) = target").count() == 100_000
+    assert nearest._pieces(t.select("entity", "at").unionByName(r.select("entity", "at")), 0.9).collect()[0]["pieces"] == 20
+    assert nearest._pieces(t.select("entity", "at").limit(5), 0.9) is None
+
+
 def test_ties_edges_and_empty(spark):
     assert run(spark, [("a", "e", 1.0)], [("e", 0.5, 7), ("e", 1.5, 8), ("e", 0.5, 3)]) == {("a", 3)}
     assert run(spark, [("a", "e", 511.95), ("b", "e", 512.1)], [("e", 512.3, 1), ("e", 511.8, 2)]) == {("a", 2), ("b", 1)}

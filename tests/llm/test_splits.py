@@ -37,7 +37,7 @@ def test_random_ties(spark):
     odd = [None, "", " ", "-", "N/A", "Unknown", "none"]
     rows = [(f"u{i}", rng.choice([f"s{i % 40:02d}", None]) if i % 9 == 0 else f"s{i % 40:02d}", rng.choice([*odd, f" Nar{rng.randrange(60)} "]), rng.choice([*odd, f"rec{rng.randrange(60)}"]), rng.random() < 0.7) for i in range(200)]
     groups = splits.tied_groups(frame(spark, rows), "story_id", ["narrator_id", "recording_id"])
-    got = {tuple(r) for r in splits.tied_pairs(groups, 4).collect()}
+    got = {tuple(r) for r in splits.tied_pairs(groups, 3).collect()}
     assert got == {(a, b) for g in brute(rows) for a in g for b in g if a < b}
 
 
@@ -67,6 +67,43 @@ def test_assignment(spark):
     assert max(r["label_rate"] for r in report.values()) - min(r["label_rate"] for r in report.values()) < 0.08
 
 
+def test_placing_equals_one_by_one():
+    rng = random.Random(8)
+    shares = [0.7, 0.2, 0.1]
+    for _ in range(20):
+        classes = [(rng.randrange(1, 40), float(n), float(rng.randrange(n + 1))) for n in rng.sample(range(1, 30), 6)]
+        n, positive = sum(m * a for m, a, _ in classes), sum(m * b for m, _, b in classes) or 1.0
+        have = [[0.0, 0.0] for _ in shares]
+        want = {}
+        for m, a, b in sorted(classes, key=lambda c: -c[1]):
+            for _ in range(m):
+                grown = [((have[k][0] + a / n - s) ** 2 - (have[k][0] - s) ** 2 + (have[k][1] + b / positive - s) ** 2 - (have[k][1] - s) ** 2) / s for k, s in enumerate(shares)]
+                k = grown.index(min(grown))
+                want.setdefault(a, [0, 0, 0])[k] += 1
+                have[k][0] += a / n
+                have[k][1] += b / positive
+        got = splits.placed(classes, shares)
+        assert [sum(c) for c in got] == [m for m, _, _ in classes]
+        end = [sum(c[k] * a for c, (_, a, _) in zip(got, classes, strict=True)) / n for k in range(3)]
+        assert all(abs(e - h[0]) < 0.02 for e, h in zip(end, have, strict=True))
+    many = splits.placed([(10**9, 1.0, 0.3), (5, 10.0**8, 3.0 * 10**7)], shares)
+    assert sum(many[0]) == 10**9 and abs((many[0][0] + many[1][0] * 10**8) / 1.5e9 - 0.7) < 1e-6
+
+
+def test_one_heavy_group(spark):
+    df = spark.range(30_000).selectExpr("cast(id as string) id", "case when id < 10000 then 'heavy' else concat('s', id % 4000) end story_id", "cast(null as string) narrator_id", "cast(null as string) recording_id", "id % 3 = 0 ok")
+    targets = spark.createDataFrame([("train", 0.8), ("test", 0.1), ("validation", 0.1)], "split string, share double")
+    got = splits.assign_splits(df, splits.tied_groups(df, "story_id", ["narrator_id"]), targets, "id", "story_id", "ok")
+    assert {r["split"] for r in got.where("story_id = 'heavy'").select("split").distinct().collect()} == {"train"}
+    report = {r["split"]: r for r in splits.split_report(got, df, targets, "id", "ok").collect()}
+    assert all(abs(r["share"] - r["target_share"]) < 0.001 and abs(r["label_rate"] - 1 / 3) < 0.01 for r in report.values())
+
+
+def test_sizes(spark):
+    groups = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "record string, label string")
+    assert {tuple(r) for r in splits.tied_sizes(groups).collect()} == {("a", "a", 2), ("b", "a", 2), ("c", "c", 1)}
+
+
 def test_empty(spark):
     df = frame(spark, [])
     groups = splits.tied_groups(df, "story_id", ["narrator_id"])
