@@ -19,9 +19,15 @@ LOOKALIKES = {
     "O": "ОΟ", "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "ΥҮ", "Z": "Ζ", "Æ": "Ӕ",
     "Γ": "Г", "Π": "П", "Φ": "Ф", "-": "‐‑", "’": "ʼ",
 }
+# The same for three further scripts, letter by letter: Lisu, Cherokee, Armenian.
+LOOKALIKES_MORE = {
+    **dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True)),
+    **dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPSTVWZ", strict=True)),
+    **dict(zip("հոսցզՕՏ", "hnugqOS", strict=True)),
+}
 
 # Characters without any look of their own. Joiners are not here, for they depend on their neighbours.
-INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x115F, 0x180E, 0x200B, 0x200E, 0x200F, 0x202A, 0x202C, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0x2066, 0x2068, 0x2069, 0xFEFF]
+INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x115F, 0x180E, 0x200B, 0x200E, 0x200F, 0x202A, 0x202C, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0x2066, 0x2068, 0x2069, 0xFEFF, *range(0xFE00, 0xFE0E), *range(0x2065, 0x2070), 0x1160, 0xE0001]
 JOINERS = [0x200C, 0x200D]
 
 # Kinds of compatibility mapping that change no more than width, spacing or joining form.
@@ -36,7 +42,7 @@ _EMOJI = ((0x2190, 0x21FF), (0x2300, 0x27BF), (0x2B00, 0x2BFF), (0x1F000, 0x1FAF
 @lru_cache(maxsize=1)
 def _tables() -> dict[str, np.ndarray]:
     """Lookup tables over all code points, made from the Unicode data of this Python once a process."""
-    alike = {ord(x): ord(to) for to, several in LOOKALIKES.items() for x in several}
+    alike = {ord(x): ord(to) for to, several in LOOKALIKES.items() for x in several} | {ord(x): ord(to) for x, to in LOOKALIKES_MORE.items()}
     size, start = np.ones(_LIMIT, np.int32), np.arange(_LIMIT, dtype=np.int64)
     data: list[int] = []
     ccc = np.zeros(_LIMIT, np.uint8)
