@@ -115,12 +115,6 @@ def p10_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.sanitised(table(spark, sf_dir, "documents"), _name_terms(spark, sf_dir), "doc_id")
 
 
-def p10_disclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms that disclose a person, with the bits by which they do."""
-    found = pii.disclosing_terms(table(spark, sf_dir, "documents"), _name_terms(spark, sf_dir))
-    return found.select("entity", "term", "n", F.round("bits", 6).alias("bits"))
-
-
 def p10_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that disclose names, numbers and streets, with the bits by which their place does."""
     return _name_terms(spark, sf_dir).select("term", "role", F.round("bits", 6).alias("bits"))
@@ -128,7 +122,7 @@ def p10_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_forms, p5_found, p5_groups, p5_assigned, p5_report, p6_found, p6_gaps, p8_ids, p8_spans, p8_round_trip, p9_mix, p9_shares, p10_found, p10_redacted, p10_sanitised, p10_disclosing, p10_terms)
+    for f in (p1_found, p1_forms, p5_found, p5_groups, p5_assigned, p5_report, p6_found, p6_gaps, p8_ids, p8_spans, p8_round_trip, p9_mix, p9_shares, p10_found, p10_redacted, p10_sanitised, p10_terms)
 }
 
 
