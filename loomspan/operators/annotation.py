@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from loomspan.operators import hierarchy
 from loomspan.operators.graph import equivalence_classes
 from loomspan.operators.nested import node_table
 from loomspan.session import kept, table
@@ -31,17 +32,18 @@ class GraphView:
     relations: DataFrame
     identity_links: DataFrame
     contexts: DataFrame
+    literals: DataFrame
 
     def at(self, unit_index: int) -> GraphView:
         """The graph as it is at the end of a unit: nothing later is seen."""
-        return GraphView(*(f.where(F.col("unit_index") <= unit_index) for f in (self.entities, self.events, self.arguments, self.mentions, self.relations, self.identity_links, self.contexts)))
+        return GraphView(*(f.where(F.col("unit_index") <= unit_index) for f in (self.entities, self.events, self.arguments, self.mentions, self.relations, self.identity_links, self.contexts, self.literals)))
 
 
 def graph_view(spark: SparkSession, sf_dir: str) -> GraphView:
     """The graph view of a data directory; drafts are parsed once."""
     draft = table(spark, sf_dir, "draft").where("status = 'accepted'")
     attributes = ("label", "concept", "predicate", "polarity", "tense", "role", "mention", "support", "contexts")
-    nodes = kept(node_table(draft, "graph", ["story_id", "unit_id", "unit_index"], kinds=["entity", "event", "argument"], attributes=attributes))
+    nodes = kept(node_table(draft, "graph", ["story_id", "unit_id", "unit_index"], kinds=["entity", "event", "argument", "literal"], attributes=attributes))
     unit = lambda df: df.withColumn("unit_index", F.expr(r"try_cast(regexp_extract(unit_id, '_u([0-9]+)$', 1) as int)"))
     each = lambda name, *columns: unit(table(spark, sf_dir, name)).select("id", "story_id", "unit_id", "unit_index", *columns).distinct()
     place = ["story_id", "unit_id", "unit_index"]
@@ -52,7 +54,8 @@ def graph_view(spark: SparkSession, sf_dir: str) -> GraphView:
         each("mention", "target", "form", "support", "antecedent", F.col("evidence.start_token").alias("start_token"), F.col("evidence.quote").alias("quote")),
         each("relation", "type", "source", "target", "contexts", "support"),
         each("identity_link", F.col("left").alias("left_id"), F.col("right").alias("right_id"), "relation", "support"),
-        each("context", "kind", "holder", "parents", "support"),
+        each("context", "kind", "holder", "attribution", "parents", "support"),
+        nodes.where("kind = 'literal'").select(*place, "id").distinct(),
     )
 
 
@@ -83,10 +86,10 @@ def q_reference(view: GraphView, queries: DataFrame) -> DataFrame:
     """``query_id, mention``: all that is the same as what the mention names, itself included; null if it is unresolved."""
     links = view.identity_links.where(resolved())
     classes = equivalence_classes(links.where("relation = 'same'"), links.where("relation = 'different'"), "left_id", "right_id")
-    members = classes.groupBy("root").agg(F.collect_list("id").alias("ids"))
+    members = classes.select("root", F.col("id").alias("member"))
     target = view.mentions.where(resolved() & F.col("target").isNotNull()).select(F.col("id").alias("mention"), "target").distinct()
     own = queries.join(target, "mention").join(classes.withColumnRenamed("id", "target"), "target", "left").join(members, "root", "left")
-    return _answers(queries, own.select("query_id", F.explode(F.coalesce("ids", F.array("target"))).alias("label")))
+    return _answers(queries, own.select("query_id", F.coalesce("member", "target").alias("label")))
 
 
 def q_polarity(view: GraphView, queries: DataFrame) -> DataFrame:
@@ -105,6 +108,43 @@ def q_status(view: GraphView, queries: DataFrame) -> DataFrame:
     return _answers(queries, queries.join(profile, "event").select("query_id", label.alias("label")))
 
 
+def _unit_number() -> Column:
+    return F.expr(r"try_cast(regexp_extract(unit_id, '_u([0-9]+)$', 1) as bigint)")
+
+
+def scope_profiles(view: GraphView) -> DataFrame:
+    """Digest of every context with all that it stands in: ``context, digest``; null on a loop.
+
+    A context is its kind, the concept of its holder and the predicate of the event that it is attributed to; ids and places play no part, so profiles compare across stories.
+    """
+    c = view.contexts
+    concept = view.entities.groupBy(F.col("id").alias("holder")).agg(F.min("concept").alias("_concept"))
+    predicate = view.events.groupBy(F.col("id").alias("attribution")).agg(F.min("predicate").alias("_predicate"))
+    own = c.select("id", "kind", "holder", "attribution").distinct().join(concept, "holder", "left").join(predicate, "attribution", "left")
+    own = own.select("id", F.to_json(F.struct("kind", F.col("_concept").alias("holder"), F.col("_predicate").alias("attribution"))).alias("text"))
+    nodes = hierarchy.links(c.withColumn("_at", _unit_number()), "id", "parents", "story_id", F.col("_at"))
+    return hierarchy.nested_digests(nodes, own, "text").withColumnRenamed("id", "context")
+
+
+def q_scope(view: GraphView, queries: DataFrame) -> DataFrame:
+    """``query_id, event``: digest of the nested profiles of the event's contexts; null where one of them is unresolved, not there or on a loop."""
+    each = view.events.select(F.col("id").alias("event"), F.explode_outer("contexts").alias("context")).distinct()
+    ok = view.contexts.groupBy(F.col("id").alias("context")).agg(F.min(resolved()).alias("ok"))
+    joined = each.join(scope_profiles(view), "context", "left").join(ok, "context", "left")
+    profile = joined.groupBy("event").agg(F.min(F.col("context").isNull() | (F.coalesce("ok", F.lit(False)) & F.col("digest").isNotNull())).alias("ok"), F.array_sort(F.collect_set("digest")).alias("digests"))
+    label = F.when(F.col("ok"), F.sha2(F.to_json("digests"), 256))
+    return _answers(queries, queries.join(profile, "event").select("query_id", label.alias("label")))
+
+
+def scope_parents(view: GraphView) -> DataFrame:
+    """Events to which an event's contexts, or contexts around these, are attributed: ``event, parent``, distinct, without the event itself."""
+    nodes = hierarchy.links(view.contexts.withColumn("_at", _unit_number()), "id", "parents", "story_id", F.col("_at"))
+    around = hierarchy.ancestors(nodes).where("ancestor IS NOT NULL").select(F.col("id").alias("context"), "ancestor")
+    source = view.contexts.where("attribution IS NOT NULL").select(F.col("id").alias("ancestor"), F.col("attribution").alias("parent")).distinct()
+    within = view.events.select(F.col("id").alias("event"), F.explode("contexts").alias("context")).distinct()
+    return within.join(around, "context").join(source, "ancestor").where("event <> parent").select("event", "parent").distinct()
+
+
 def q_relation(view: GraphView, queries: DataFrame) -> DataFrame:
     """``query_id, source, target, contexts``: types of the resolved relations between both with equal contexts."""
     r = view.relations.where(resolved()).select("source", "target", F.array_sort("contexts").alias("contexts"), F.col("type").alias("label"))
@@ -130,7 +170,7 @@ def q_binding(view: GraphView, queries: DataFrame) -> DataFrame:
 def q_compose(view: GraphView, queries: DataFrame, steps: list[dict]) -> DataFrame:
     """``query_id, event``: what up to three steps reach from the event.
 
-    Steps: ``{"op": "role" | "argument_event", "role": r}``, ``{"op": "event_relation", "relation": t, "direction": "out" | "in"}``.
+    Steps: ``{"op": "role" | "argument_event", "role": r}``, ``{"op": "event_relation", "relation": t, "direction": "out" | "in"}``, ``{"op": "scope_parent"}``.
     """
     if not 1 <= len(steps) <= 3:
         raise ValueError("one to three steps")
@@ -143,6 +183,8 @@ def q_compose(view: GraphView, queries: DataFrame, steps: list[dict]) -> DataFra
         elif step["op"] == "event_relation":
             ends = ("source", "target") if step["direction"] == "out" else ("target", "source")
             edges = view.relations.where(resolved() & (F.col("type") == step["relation"])).select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next"))
+        elif step["op"] == "scope_parent":
+            edges = scope_parents(view).select(F.col("event").alias("node"), F.col("parent").alias("next"))
         else:
             raise ValueError(f"unknown step {step['op']}")
         current = current.join(edges.distinct(), "node").select("query_id", F.col("next").alias("node")).distinct()
@@ -154,13 +196,14 @@ _FIELDS = {
     "role": {"event": "string", "role": "string"},
     "reference": {"mention": "string"},
     "status": {"event": "string"},
+    "scope": {"event": "string"},
     "polarity": {"event": "string"},
     "relation": {"source": "string", "target": "string", "contexts": "array<string>"},
     "identity": {"left_id": "string", "right_id": "string"},
     "binding": {"event": "string", "requested": "array<struct<role:string,target:string>>", "polarity": "string"},
     "compose": {"event": "string"},
 }
-_STEP_FIELDS = {"role": {"role"}, "argument_event": {"role"}, "event_relation": {"relation", "direction"}}
+_STEP_FIELDS = {"role": {"role"}, "argument_event": {"role"}, "event_relation": {"relation", "direction"}, "scope_parent": set()}
 
 
 def validate_query(ast: dict) -> None:

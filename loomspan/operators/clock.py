@@ -62,19 +62,28 @@ def fir(df: DataFrame, key: str, t: str, values: list[str], delays: list[int], k
     return df.select(key, t, *made, ok.alias("valid"))
 
 
-def response_rows(slot: Column, delays: list[int], valid: Column) -> Column:
-    """Delayed rows of an event that lie in the sorted array of measured rows, in order; empty for an unknown slot."""
-    return F.when(slot < 0, F.array().cast("array<int>")).otherwise(F.array_intersect(F.transform(F.array(*map(F.lit, delays)), lambda d: slot + d), valid))
+def measured_rows(events: DataFrame, identity: str, key: str, slot: str, delays: list[int], measured: DataFrame, row: str) -> DataFrame:
+    """Delayed rows of every event that were measured: ``identity, slot, rows``, in the order of the delays; none for an unknown (negative) slot.
+
+    ``measured``: ``key, row``, distinct. Every delayed row meets the measured ones by key and row, so no key's rows are held together. Keys without any measured row are left out.
+    """
+    known = events.join(measured.select(key).distinct(), key, "left_semi")
+    each = known.select(identity, key, slot, F.posexplode(F.array(*map(F.lit, delays))).alias("_k", "_d")).withColumn("_r", F.when(F.col(slot) >= 0, F.col(slot) + F.col("_d")))
+    met = each.join(measured.select(key, F.col(row).alias("_r"), F.lit(True).alias("_there")), [key, "_r"], "left")
+    found = F.array_sort(F.collect_list(F.when(F.col("_there"), F.struct("_k", "_r"))))
+    return met.groupBy(identity, key, slot).agg(F.transform(found, lambda s: s["_r"]).alias("rows"))
 
 
-def coverage(windows: DataFrame, category: str, rows: str = "rows", retained: str = "retained") -> DataFrame:
+def coverage(windows: DataFrame, key: str, category: str, rows: str, retained: DataFrame, row: str) -> DataFrame:
     """Per category the windows that a mask keeps whole, in part or not: ``category, n, whole, part, gone``.
 
-    ``rows`` is an array of row numbers, ``retained`` the array of those that the mask keeps. An empty window is kept whole.
+    ``rows`` is an array of different row numbers; ``retained`` (``key, row``, distinct) what the mask keeps. Rows meet by key and number. An empty window is kept whole.
     """
-    inside = F.size(F.array_intersect(rows, retained))
-    whole, part = inside == F.size(F.array_distinct(rows)), inside > 0
-    return windows.groupBy(category).agg(F.count("*").alias("n"), F.count_if(whole).alias("whole"), F.count_if(part & ~whole).alias("part"), F.count_if(~part & ~whole).alias("gone"))
+    each = windows.withColumn("_w", F.monotonically_increasing_id()).select("_w", key, category, F.explode_outer(rows).alias("_r"))
+    met = each.join(retained.select(key, F.col(row).alias("_r"), F.lit(1).alias("_there")), [key, "_r"], "left")
+    per = met.groupBy("_w", category).agg(F.count("_r").alias("_n"), F.count("_there").alias("_h"))
+    whole, part = F.col("_n") == F.col("_h"), F.col("_h") > 0
+    return per.groupBy(category).agg(F.count("*").alias("n"), F.count_if(whole).alias("whole"), F.count_if(part & ~whole).alias("part"), F.count_if(~part & ~whole).alias("gone"))
 
 
 def exclusions(df: DataFrame, key: str, checks: list[str]) -> DataFrame:

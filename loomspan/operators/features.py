@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loomspan.operators.aggregates import numbered
 from loomspan.operators.annotation import GraphView, resolved
+from loomspan.operators.skew import skew_join
+from loomspan.session import kept
 
 # Feature groups by what they hold.
 GROUPS = {"C": "concept of a mentioned entity", "R": "relation type", "B": "role and filler's concept", "PB": "predicate, role and filler's concept", "BC": "constituents of PB", "D": "polarity and tense", "S": "context kind", "U": "uncertain reference"}
@@ -86,9 +88,14 @@ def transform(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def reference_index(view: GraphView) -> DataFrame:
-    """Mentions of every entity in order: ``target, mentions`` (array of start, id, form)."""
-    m = view.mentions.where("target IS NOT NULL").select("target", F.struct(F.col("unit_index"), F.coalesce("start_token", F.lit(-1)).alias("start"), "id", "form").alias("m"))
-    return m.groupBy("target").agg(F.array_sort(F.collect_set("m")).alias("mentions"))
+    """Mentions of every entity in order: ``target, place, unit_index, start, id, form``, one row a mention, ``place`` from 0.
+
+    The place comes from a global order by target and position, less the target's first, so a target that holds a third of all mentions is no group of one task.
+    """
+    m = view.mentions.where("target IS NOT NULL").select("target", "unit_index", F.coalesce("start_token", F.lit(-1)).alias("start"), "id", "form").distinct()
+    ranked = kept(numbered(m, ["target", "unit_index", "start", "id", "form"], "_k"))
+    first = ranked.groupBy("target").agg(F.min("_k").alias("_first"))
+    return skew_join(ranked, first, ["target"]).select("target", (F.col("_k") - F.col("_first")).alias("place"), "unit_index", "start", "id", "form")
 
 
 def selected_for_review(reasons: dict[str, DataFrame], key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,7 +119,7 @@ class _Values:
         self.used += len(label)
 
 
-def sweep(names: list[str], node: np.ndarray, source: np.ndarray, blocked: np.ndarray, given: tuple, mode: str) -> tuple[np.ndarray, _Values, list[str]]:
+def sweep(names: list[str], node: np.ndarray, source: np.ndarray, blocked: np.ndarray, given: tuple, mode: str, own_text: list | None = None) -> tuple[np.ndarray, _Values, list[str]]:
     """Work through one local graph and return which nodes are done, their values and the labels.
 
     ``node`` takes values from ``source`` over each link. ``blocked`` nodes also wait for something elsewhere;
@@ -171,6 +173,13 @@ def sweep(names: list[str], node: np.ndarray, source: np.ndarray, blocked: np.nd
             first = len(labels)
             labels.extend(f"{labels[k]}/{names[i]}" for i, k in zip(to, label, strict=True))
             label = np.arange(first, len(labels))
+        if mode == "digest":
+            above: dict[int, set[str]] = {int(i): set() for i in ready}
+            for i, k in zip(to.tolist(), label.tolist(), strict=True):
+                above[i].add(labels[k])
+            first = len(labels)
+            labels.extend(hashlib.sha256(json.dumps([own_text[i], sorted(above[i])], ensure_ascii=False).encode()).hexdigest() for i in above)
+            to, label, steps = ready, np.arange(first, len(labels)), np.zeros(len(ready), np.int64)
         own = ready if mode in ("peeled", "above") else np.setdiff1d(ready, to)
         to, label, steps = np.r_[to, own], np.r_[label, own], np.r_[steps, np.zeros(len(own), np.int64)]
         place = np.lexsort((steps, label, to))
@@ -215,7 +224,8 @@ def _local(rows: DataFrame, mode: str) -> DataFrame:
         arrived = table["given"].combine_chunks()
         values_in = pc.list_flatten(arrived)
         given = (np.asarray(pc.list_parent_indices(arrived), np.int64), values_in.field("label").to_pylist(), np.asarray(values_in.field("steps"), np.int64))
-        done, values, labels = sweep(names, owner[source >= 0], source[source >= 0], blocked, given, mode)
+        texts = table["own"].to_pylist() if mode == "digest" else None
+        done, values, labels = sweep(names, owner[source >= 0], source[source >= 0], blocked, given, mode, texts)
         ready = np.flatnonzero(done)
         picked = _ranges(values.start[ready], values.stop[ready])
         to = np.repeat(ready, values.stop[ready] - values.start[ready])
@@ -230,7 +240,8 @@ def _local(rows: DataFrame, mode: str) -> DataFrame:
         for table in _bundles(batches):
             yield from worked(table)
 
-    spread = rows.select("id", "scope", "chunk", "froms", "given").repartition("scope", "chunk").sortWithinPartitions("scope", "chunk")
+    held = ["id", "scope", "chunk", "froms", "given", *(["own"] if mode == "digest" else [])]
+    spread = rows.select(*held).repartition("scope", "chunk").sortWithinPartitions("scope", "chunk")
     return spread.mapInArrow(run, _OUT)
 
 
@@ -239,7 +250,7 @@ def spread_values(nodes: DataFrame, mode: str) -> DataFrame:
 
     ``nodes``: ``id, scope, chunk, froms``, where ``froms`` names the nodes that a node takes values from, none unknown. Modes:
     ``roots`` (label a root, steps the fewest links to it), ``paths`` (label a path from a root), ``above`` (label the node
-    itself or one above it), ``peeled`` (label the node itself).
+    itself or one above it), ``peeled`` (label the node itself), ``digest`` (label the digest of the node's text in ``own`` and of its sources' digests, as a set).
 
     Every round works through each local group as far as it comes, whole hierarchies at a time, and hands values over
     group borders to the next round; rounds follow border crossings, not depth. The first that finishes nothing leaves
@@ -270,7 +281,7 @@ def spread_values(nodes: DataFrame, mode: str) -> DataFrame:
         pending = skew_join(sources, rest.select(F.col("id").alias("source")), ["source"], "left_semi").groupBy("id").agg(F.collect_list("source").alias("pending"))
         left = (
             open_nodes.join(handed, "id", "left").join(pending, "id", "left")
-            .select("id", "scope", "chunk", F.coalesce("pending", F.array().cast("array<string>")).alias("froms"), F.concat("given", F.coalesce("new", empty)).alias("given"))
+            .select("id", "scope", "chunk", *(["own"] if mode == "digest" else []), F.coalesce("pending", F.array().cast("array<string>")).alias("froms"), F.concat("given", F.coalesce("new", empty)).alias("given"))
         )
         left = checkpointed(left)
 
@@ -323,6 +334,17 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     return found.select("id", F.col("label").alias("ancestor"), F.coalesce("steps", F.lit(-1)).alias("distance"))
 
 
+def nested_digests(nodes: DataFrame, own: DataFrame, text: str) -> DataFrame:
+    """Digest of every node with all that is above it, nested: ``id, digest``; null on or below a loop.
+
+    A digest is that of the node's own ``text`` (by ``id``, null where it has none) and the set of its parents' digests, so two nodes are alike exactly if all above
+    them is, whatever their ids. Only digests cross the borders of groups, never nested values.
+    """
+    named = nodes.join(own.groupBy("id").agg(F.min(text).alias("own")), "id", "left")
+    found = spread_values(named.withColumnRenamed("parents", "froms"), "digest")
+    return found.select("id", F.col("label").alias("digest"))
+
+
 def descendants(nodes: DataFrame) -> DataFrame:
     """All nodes below every node: ``id, descendant, distance`` (the fewest links), each node with itself at 0.
 

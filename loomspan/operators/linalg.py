@@ -8,15 +8,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def gram(df: DataFrame, by: list[str], key: list[str], coordinate: str, value: str) -> DataFrame:
-    """Sums of products of coordinates of the same row: ``by..., i <= j, s, n``, from a long table of row, coordinate and value.
+#: Rows into which the partial sums of one group are merged before the last merge, so no task sees one for each Arrow batch.
+MERGES = 64
 
-    Products meet within a row only; sums are combined before the shuffle.
+
+def _merged(parts: DataFrame, keys: list[str], merge) -> DataFrame:
+    """Merge partial rows of equal keys by ``merge``, a function of a frame, first side by side and then once more."""
+    schema = parts.schema
+    first = parts.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(MERGES))).groupBy(*keys, "_part").applyInPandas(lambda frame: merge(frame.drop(columns="_part")), schema)
+    return first.groupBy(*keys).applyInPandas(merge, schema)
+
+
+def gram(df: DataFrame, by: str, vector: str) -> DataFrame:
+    """Sums of products of all coordinates of the vectors of each group: ``by, i <= j, s, n``; rows with a null vector are left out.
+
+    Every Arrow batch is one matrix product a group. Its rows are then summed by coordinate, with partial sums before the shuffle.
     """
-    a = df.select(*by, *key, F.col(coordinate).alias("i"), F.col(value).alias("_x"))
-    rows = df.groupBy(*by, *key).agg(F.collect_list(F.struct(F.col(coordinate).alias("j"), F.col(value).alias("y"))).alias("_r"))
-    pairs = a.join(rows, [*by, *key]).select(*by, "i", "_x", F.explode("_r").alias("_p")).where("i <= _p.j")
-    return pairs.groupBy(*by, "i", F.col("_p.j").alias("j")).agg(F.sum(F.col("_x") * F.col("_p.y")).alias("s"), F.count("*").alias("n"))
+
+    def partial(frames):
+        for frame in frames:
+            for key, part in frame.groupby(by, sort=False):
+                x = np.stack(part[vector].to_numpy()).astype(float)
+                product = x.T @ x
+                size = len(product)
+                yield pd.DataFrame({by: [key] * size, "i": np.arange(size, dtype=np.int32), "row": [product[i, i:] for i in range(size)], "n": [len(x)] * size})
+
+    kind = df.schema[by].dataType.simpleString()
+    rows = df.where(F.col(vector).isNotNull() & F.col(by).isNotNull()).select(by, vector).mapInPandas(partial, f"{by} {kind}, i int, row array<double>, n bigint")
+    each = rows.select(by, "i", F.posexplode("row").alias("d", "s"), "n")
+    return each.groupBy(by, "i", (F.col("i") + F.col("d")).alias("j")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 _MOMENTS = "group string, n bigint, mean array<double>, scatter array<double>"
@@ -51,7 +71,7 @@ def merge_moments(parts: DataFrame, whole: bool = False) -> DataFrame:
             mean, n = mean + delta * m / (n + m), n + m
         return pd.DataFrame([(frame["group"].iloc[0], n, mean, scatter.ravel())], columns=["group", "n", "mean", "scatter"])
 
-    return parts.groupBy("group").applyInPandas(run, _MOMENTS)
+    return _merged(parts, ["group"], run)
 
 
 def principal_components(moments: DataFrame, components: int) -> DataFrame:
@@ -94,7 +114,7 @@ def group_scaled(df: DataFrame, train: str, group: str, coordinate: str, value:
 def ridge(df: DataFrame, by: str, features: str, target: str, alphas: list[float], fold: str) -> DataFrame:
     """Ridge regression with the penalty chosen over folds: ``by, alpha, loss, intercept, weights``.
 
-    Spark sums the Gram matrix, cross products and totals of every fold and group (arrays of p * p numbers); a group's
+    Spark sums the Gram matrix, cross products and totals of every fold and group as blocks, merged in two steps; a group's
     solves see those sums only, never rows. Training sums of a fold are all minus its own. Loss is the mean squared error of held-out
     rows by the closed form; of equal losses the first penalty counts.
     """
@@ -108,8 +128,11 @@ def ridge(df: DataFrame, by: str, features: str, target: str, alphas: list[float
 
     kinds = (df.schema[by].dataType.simpleString(), df.schema[fold].dataType.simpleString())
     sums = df.select(by, fold, features, target).mapInPandas(partial, f"by {kinds[0]}, fold {kinds[1]}, g array<double>")
-    each = sums.select("by", "fold", F.posexplode("g").alias("at", "v")).groupBy("by", "fold", "at").agg(F.sum("v").alias("v"))
-    whole = each.groupBy("by", "fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s.v).alias("g"))
+
+    def added(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(frame["by"].iloc[0], frame["fold"].iloc[0], np.sum(np.stack(frame["g"].to_numpy()), axis=0))], columns=["by", "fold", "g"])
+
+    whole = _merged(sums, ["by", "fold"], added)
 
     def solve(g: np.ndarray, alpha: float) -> np.ndarray:
         n, p = g[0, 0], len(g) - 2

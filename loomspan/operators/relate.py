@@ -111,6 +111,11 @@ def hash_order(seed: int, *columns: str) -> Column:
     return F.sha2(F.to_json(F.array(F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])), 256)
 
 
-def same_multiset(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row ``same``: whether two frames hold the same rows equally often."""
-    return a.exceptAll(b).union(b.exceptAll(a)).agg((F.count("*") == 0).alias("same"))
+def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row ``only_first, only_second``: how many rows either of two frames of the same columns holds beyond the other; nulls are equal to each other.
+
+    Rows are counted on both sides at once, with partial sums before the one shuffle.
+    """
+    counted = a.withColumn("_d", F.lit(1)).unionByName(b.withColumn("_d", F.lit(-1))).groupBy(*a.columns).agg(F.sum("_d").alias("_d"))
+    part = lambda x: F.coalesce(F.sum(F.greatest(x, F.lit(0))), F.lit(0))
+    return counted.agg(part(F.col("_d")).alias("only_first"), part(-F.col("_d")).alias("only_second"))

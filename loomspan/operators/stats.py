@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.operators.aggregates import numbered
 from loomspan.operators.relate import average_rank
 
 
@@ -22,16 +23,39 @@ def unit_vectors(df: DataFrame, vector: str, name: str = "unit") -> DataFrame:
     return df.withColumn("_norm", norm).withColumn(name, F.when(F.col("_norm") > 1e-12, F.transform(vector, lambda x: x / F.col("_norm")))).drop("_norm")
 
 
-def cosine_rdm(items: DataFrame, item: str, vector: str, blocks: int = 16) -> DataFrame:
+def cosine_rdm(items: DataFrame, item: str, vector: str, blocks: int | None = None) -> DataFrame:
     """Cosine dissimilarities of all pairs of items: ``item_i < item_j, d`` between 0 and 2; items without direction are left out.
 
-    A dissimilarity matrix is all pairs by definition. Items fall into blocks, and each pair of blocks is a task of its own.
+    A dissimilarity matrix is all pairs by definition. Items fall into blocks by their hash, of some 512 items where ``blocks`` is not given, and each pair of blocks
+    meets once, as a task of its own.
     """
-    unit = unit_vectors(items, vector).where("unit IS NOT NULL").select(F.col(item).alias("i"), F.col("unit").alias("u"), F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int").alias("b"))
-    left = unit.select(F.col("i").alias("item_i"), F.col("u").alias("ui"), F.col("b").alias("bi"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bj"))
-    right = unit.select(F.col("i").alias("item_j"), F.col("u").alias("uj"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bi"), F.col("b").alias("bj"))
-    met = left.join(right, ["bi", "bj"]).where("item_i < item_j")
-    return met.select("item_i", "item_j", F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot(F.col("ui"), F.col("uj")))).alias("d"))
+    unit = unit_vectors(items, vector).where("unit IS NOT NULL")
+    if blocks is None:
+        blocks = max(1, unit.count() // 512)
+    unit = unit.select(F.col(item).alias("i"), F.col("unit").alias("u"), F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int").alias("b"))
+    left = unit.select(F.col("i").alias("x"), F.col("u").alias("ux"), F.col("b").alias("bx"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("by"))
+    right = unit.select(F.col("i").alias("y"), F.col("u").alias("uy"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("bx"), F.col("b").alias("by"))
+    met = left.join(right, ["bx", "by"]).where("bx < by AND x <> y OR x < y")
+    d = F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot(F.col("ux"), F.col("uy"))))
+    return met.select(F.least("x", "y").alias("item_i"), F.greatest("x", "y").alias("item_j"), d.alias("d"))
+
+
+def quantiles(df: DataFrame, by: str, value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles by linear interpolation: ``by`` and one column for each name of ``at``. Null and NaN values do not count.
+
+    Values are numbered in a global order of group and value, so no group is held or sorted in one task; a quantile lies between two numbers.
+    """
+    known = df.where(F.col(by).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(by, F.col(value).cast("double").alias("_x"))
+    ranked = numbered(known, [by, "_x"], "_k")
+    first = ranked.groupBy(by).agg(F.min("_k").alias("_first"), F.count("*").alias("_n"))
+    place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
+    k = F.col("_k") - F.col("_first")
+    made = []
+    for name, q in at.items():
+        low, part = F.floor(place(q)), place(q) - F.floor(place(q))
+        below, above = F.max(F.when(k == low, F.col("_x"))), F.max(F.when(k == F.least(low + 1, F.col("_n") - 1), F.col("_x")))
+        made.append((below + F.max(part) * (above - below)).alias(name))
+    return ranked.join(F.broadcast(first), by).groupBy(by).agg(*made)
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

@@ -42,12 +42,12 @@ def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT form, support, count(*) AS occurrences, count(DISTINCT unit_id) AS sources, count(DISTINCT story_id) AS stories, list_aggregate(list_sort(list(DISTINCT story_id)), 'string_agg', ',') AS story_ids FROM mention WHERE form IS NOT NULL AND support IS NOT NULL GROUP BY ALL"
+    "SELECT form, support, count(*) AS occurrences, count(DISTINCT unit_id) AS sources, count(DISTINCT story_id) AS stories FROM mention WHERE form IS NOT NULL AND support IS NOT NULL GROUP BY ALL"
 )
 def occurrence_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per kind and label the occurrences, distinct sources and stories."""
     m = table(spark, sf_dir, "mention").where("form IS NOT NULL AND support IS NOT NULL")
-    return m.groupBy("form", "support").agg(F.count("*").alias("occurrences"), F.countDistinct("unit_id").alias("sources"), F.countDistinct("story_id").alias("stories"), F.array_join(F.array_sort(F.collect_set("story_id")), ",").alias("story_ids"))
+    return m.groupBy("form", "support").agg(F.count("*").alias("occurrences"), F.countDistinct("unit_id").alias("sources"), F.countDistinct("story_id").alias("stories"))
 
 
 @query(f"WITH {_WORDS}, v AS (SELECT lower(word) AS word, count(DISTINCT doc_id) AS df FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5) SELECT word, df, row_number() OVER (ORDER BY encode(word)) - 1 AS \"column\" FROM v")
@@ -181,13 +181,13 @@ def value_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH u AS (SELECT DISTINCT id, story_id, form, unit_id FROM mention WHERE form IS NOT NULL), n AS (SELECT form, count(*) FILTER (WHERE story_id < 'story_000010') AS train, count(*) FILTER (WHERE story_id >= 'story_000010') AS heldout FROM u GROUP BY form),
+    """WITH u AS (SELECT DISTINCT id, story_id, form, unit_id FROM mention WHERE form IS NOT NULL), n AS (SELECT form, count(*) FILTER (WHERE md5(story_id) < 'c') AS train, count(*) FILTER (WHERE md5(story_id) >= 'c') AS heldout FROM u GROUP BY form),
 r AS (SELECT form, id, row_number() OVER (PARTITION BY form ORDER BY story_id, unit_id, id) AS k FROM u) SELECT form, train, heldout, (SELECT string_agg(id, ',' ORDER BY k) FROM r WHERE r.form = n.form AND k <= 3) AS examples FROM n"""
 )
 def label_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by split and the first three examples."""
     u = table(spark, sf_dir, "mention").where("form IS NOT NULL").select("id", "story_id", "form", "unit_id").distinct()
-    counted = u.groupBy("form").agg(F.count_if(F.col("story_id") < "story_000010").alias("train"), F.count_if(F.col("story_id") >= "story_000010").alias("heldout"))
+    counted = u.groupBy("form").agg(F.count_if(F.md5("story_id") < "c").alias("train"), F.count_if(F.md5("story_id") >= "c").alias("heldout"))
     ranked = u.withColumn("k", F.row_number().over(Window.partitionBy("form").orderBy("story_id", "unit_id", "id"))).where("k <= 3")
     first = ranked.groupBy("form").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda s: s.id), ",").alias("examples"))
     return counted.join(first, "form").select("form", "train", "heldout", "examples")

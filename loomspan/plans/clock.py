@@ -125,10 +125,9 @@ SELECT id, CASE WHEN slot < 0 THEN [] ELSE list_filter([slot + 1, slot + 2, slot
 )
 def delayed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scan rows at which each unit is measured, by its delays."""
-    valid = table(spark, sf_dir, "alignment").select("story_id", F.explode("response_raw_indices").alias("r")).groupBy("story_id").agg(F.collect_set("r").alias("valid"))
+    valid = table(spark, sf_dir, "alignment").select("story_id", F.explode("response_raw_indices").alias("r")).distinct()
     unit = table(spark, sf_dir, "source_record").where("raw_feature_bin IS NOT NULL").select("id", "story_id", F.col("raw_feature_bin").alias("slot")).distinct()
-    rows = clock.response_rows(F.col("slot"), DELAYS, F.col("valid"))
-    return unit.join(valid, "story_id").select("id", rows.alias("rows"), ((F.col("slot") >= 0) & (F.size(rows) == len(DELAYS))).alias("complete"))
+    return clock.measured_rows(unit, "id", "story_id", "slot", DELAYS, valid, "r").select("id", "rows", ((F.col("slot") >= 0) & (F.size("rows") == len(DELAYS))).alias("complete"))
 
 
 @query(
@@ -138,9 +137,9 @@ SELECT eligible, count(*) AS n, count(*) FILTER (WHERE h = k.n) AS whole, count(
 )
 def window_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of the units that the measured rows keep whole, in part or not."""
-    valid = table(spark, sf_dir, "alignment").select("story_id", F.explode("response_raw_indices").alias("r")).groupBy("story_id").agg(F.collect_set("r").alias("retained"))
+    kept_rows = table(spark, sf_dir, "alignment").select("story_id", F.explode("response_raw_indices").alias("r")).distinct()
     unit = table(spark, sf_dir, "source_record").where("decoder_raw_response_rows IS NOT NULL").select("id", "story_id", F.col("decoder_timing_eligible").alias("eligible"), F.array_distinct("decoder_raw_response_rows").alias("rows")).distinct()
-    return clock.coverage(unit.join(valid, "story_id"), "eligible")
+    return clock.coverage(unit.join(kept_rows.select("story_id").distinct(), "story_id", "left_semi"), "story_id", "eligible", "rows", kept_rows, "r")
 
 
 QUERIES, ORACLE = catalog.queries, catalog.oracle

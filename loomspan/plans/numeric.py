@@ -15,6 +15,9 @@ from loomspan.session import kept, table
 catalog = Catalog()
 query = catalog.query
 
+#: Stories whose digest is below are for training: three quarters of them, at any number of stories.
+TRAIN = "c"
+
 # --- features ---------------------------------------------------------------------------------------------------------
 
 _EMIT = (
@@ -54,23 +57,30 @@ def group_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.group_masks(e, features.uncertain_groups(e), ["C", "PB"])
 
 
-@query(_EMIT + """, m AS (SELECT unit_id, count(*) FILTER (WHERE grp = 'PB' AND ok) AS bound, count(*) FILTER (WHERE grp = 'BC' AND ok) AS marginal FROM f GROUP BY unit_id) SELECT count(*) AS units, count(*) FILTER (WHERE marginal = 3 * bound) AS equal FROM m""")
+@query(
+    _EMIT
+    + """, m AS (SELECT parts[2] AS predicate, count(*) AS marginal FROM f WHERE grp = 'BC' AND ok AND parts[1] = 'predicate' GROUP BY 1) SELECT predicate, marginal, marginal AS direct FROM m"""
+)
 def marginal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metamorphic: constituents are counted exactly three times as often as bound triples, in every unit."""
-    per = _emitted(spark, sf_dir).groupBy("unit_id").agg(F.count_if((F.col("group") == "PB") & F.col("included")).alias("bound"), F.count_if((F.col("group") == "BC") & F.col("included")).alias("marginal"))
-    return per.agg(F.count("*").alias("units"), F.count_if(F.col("marginal") == 3 * F.col("bound")).alias("equal"))
+    """Metamorphic: a predicate's marginal is as often there as its events have a resolved argument whose filler has a concept, counted straight from the graph."""
+    view = annotation.graph_view(spark, sf_dir)
+    e = features.emit(view).where("included AND group = 'BC'").where(F.col("parts")[0] == "predicate").groupBy(F.col("parts")[1].alias("predicate")).agg(F.count("*").alias("marginal"))
+    concepts = view.entities.where("concept IS NOT NULL").select(F.col("id").alias("target"), "concept").distinct().groupBy("target").agg(F.count("*").alias("c"))
+    named = view.events.select(F.col("id").alias("event"), "predicate").distinct()
+    direct = view.arguments.where(annotation.resolved()).join(concepts, "target").join(named, "event").groupBy(F.coalesce("predicate", F.lit("")).alias("predicate")).agg(F.sum("c").alias("direct"))
+    return e.join(direct, "predicate", "full")
 
 
 @query(
     _EMIT
     + """, k AS (SELECT unit_id, sha256('{"group":"' || grp || '","parts":["' || array_to_string(parts, '","') || '"]}') AS feature, count(*) AS n FROM f WHERE ok GROUP BY ALL),
-v AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS c FROM (SELECT feature FROM k WHERE unit_id < 'story_000010' GROUP BY feature HAVING count(DISTINCT unit_id) >= 3))
+v AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS c FROM (SELECT feature FROM k WHERE md5(regexp_extract(unit_id, '^(.*)_u[0-9]+$', 1)) < 'c' GROUP BY feature HAVING count(DISTINCT unit_id) >= 3))
 SELECT unit_id, coalesce(string_agg(c || ':' || n, ' ' ORDER BY c) FILTER (WHERE c IS NOT NULL), '') AS terms FROM k LEFT JOIN v USING (feature) GROUP BY unit_id"""
 )
 def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse rows over a vocabulary of training stories only."""
     counts = kept(features.feature_counts(_emitted(spark, sf_dir)))
-    vocab = features.fit_vocabulary(counts, counts.where("unit_id < 'story_000010'"), 3)
+    vocab = features.fit_vocabulary(counts, counts.where(F.md5(F.regexp_extract("unit_id", "^(.*)_u[0-9]+$", 1)) < TRAIN), 3)
     rows = features.transform(counts, vocab)
     return rows.select("unit_id", F.array_join(F.transform(F.map_entries("terms"), lambda e: F.concat_ws(":", e.key.cast("string"), e.value.cast("string"))), " ").alias("terms"))
 
@@ -79,7 +89,7 @@ def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mentions of every record, here their number and first."""
     index = features.reference_index(annotation.graph_view(spark, sf_dir))
-    return index.select("target", F.size("mentions").cast("long").alias("n"), F.col("mentions")[0]["id"].alias("first"))
+    return index.groupBy("target").agg(F.count("*").alias("n"), F.min_by("id", "place").alias("first"))
 
 
 @query(
@@ -135,12 +145,12 @@ def _signatures(spark: SparkSession, sf_dir: str, half: int | None = None) -> Da
 @query(f"WITH {_RDM} SELECT item_i, item_j, round(d, 6) AS d FROM rdm")
 def cosine_rdm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dissimilarities of the items' equal-story signatures."""
-    return stats.cosine_rdm(_signatures(spark, sf_dir), "label", "signature", 4).withColumn("d", F.round("d", 6))
+    return stats.cosine_rdm(_signatures(spark, sf_dir), "label", "signature").withColumn("d", F.round("d", 6))
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = stats.cosine_rdm(_signatures(spark, sf_dir, 0), "label", "signature", 4).withColumnRenamed("d", "a")
-    b = stats.cosine_rdm(_signatures(spark, sf_dir, 1), "label", "signature", 4).withColumnRenamed("d", "b")
+    a = stats.cosine_rdm(_signatures(spark, sf_dir, 0), "label", "signature").withColumnRenamed("d", "a")
+    b = stats.cosine_rdm(_signatures(spark, sf_dir, 1), "label", "signature").withColumnRenamed("d", "b")
     return a.join(b, ["item_i", "item_j"]).withColumn("panel", F.lit("halves"))
 
 
@@ -187,12 +197,12 @@ def crossed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS l, [label % 8, (label + 3) % 8] AS acc FROM embeddings), t AS (SELECT *, list_aggregate(l, 'max') AS top FROM p), s AS (SELECT *, list_aggregate(list_transform(l, lambda x: exp(x - top)), 'sum') AS z, list_aggregate(list_transform(acc, lambda i: exp(l[i + 1] - top)), 'sum') AS za, list_position(l, top) - 1 AS best FROM t)
+    """WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS l, [label % 8, (label + 3) % 8] AS acc FROM embeddings), t AS (SELECT *, list_aggregate(l, 'max') AS top FROM p), s AS (SELECT *, list_aggregate(list_transform(l, lambda x: exp(x - top)), 'sum') AS z, list_aggregate(list_transform(acc, lambda i: exp(l[i + 1] - top)), 'sum') AS za, list_position(l, top) - 1 AS best FROM t)
 SELECT vec_id, round(len(acc) / len(l), 6) AS chance, CAST(CAST(list_contains(acc, best) AS INTEGER) AS DOUBLE) AS correct, round(ln(z) - ln(za), 5) AS nll FROM s"""
 )
 def evaluate_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy, negative log likelihood and chance from logits."""
-    p = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("logits"), F.array(F.col("label") % 8, (F.col("label") + 3) % 8).alias("acceptable"))
+    p = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("logits"), F.array(F.col("label") % 8, (F.col("label") + 3) % 8).alias("acceptable"))
     return stats.evaluate_predictions(p).select("vec_id", F.round("chance", 6).alias("chance"), "correct", F.round("nll", 5).alias("nll"))
 
 
@@ -204,13 +214,13 @@ def softmax_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT form AS family, support AS candidate, count(*) + 1.0 AS c FROM mention WHERE form IS NOT NULL AND support IS NOT NULL AND story_id < 'story_000010' GROUP BY ALL)
+    """WITH c AS (SELECT form AS family, support AS candidate, count(*) + 1.0 AS c FROM mention WHERE form IS NOT NULL AND support IS NOT NULL AND md5(story_id) < 'c' GROUP BY ALL)
 SELECT family, arg_max(candidate, struct_pack(c := c, k := candidate)) AS best, round(max(c) / sum(c), 6) AS p FROM c GROUP BY family"""
 )
 def query_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prior answer of each family from training stories."""
     m = table(spark, sf_dir, "mention").where("form IS NOT NULL AND support IS NOT NULL").select("story_id", F.col("form").alias("family"), F.col("support").alias("candidate"))
-    return stats.query_prior(m.where("story_id < 'story_000010'"), m, "family", "candidate").withColumn("p", F.round("p", 6))
+    return stats.query_prior(m.where(F.md5("story_id") < TRAIN), m, "family", "candidate").withColumn("p", F.round("p", 6))
 
 
 @query("WITH s AS (SELECT l_orderkey AS item, l_linenumber AS site, l_quantity AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS k FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey FROM lineitem)), a AS (SELECT item, sum(v) AS full_, sum(v) FILTER (WHERE k > 1) AS rest, avg(v) FILTER (WHERE k > 1) AS mean FROM s GROUP BY item) SELECT item, round(full_, 3) AS \"full\", round(coalesce(rest, 0) + coalesce(mean, 0), 3) AS replaced, round(full_ - (coalesce(rest, 0) + coalesce(mean, 0)), 3) AS \"drop\" FROM a")
@@ -223,8 +233,8 @@ def site_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, round(quantile_cont(value, 0.025), 4) AS low, round(quantile_cont(value, 0.975), 4) AS high, round(median(value), 4) AS mid FROM events GROUP BY 1")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: exact linear quantiles."""
-    p = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975), F.lit(0.5)))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p.alias("p")).select("event_type", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("low", "high", "mid"))])
+    found = stats.quantiles(table(spark, sf_dir, "events"), "event_type", "value", {"low": 0.025, "high": 0.975, "mid": 0.5})
+    return found.select("event_type", *[F.round(n, 4).alias(n) for n in ("low", "high", "mid")])
 
 
 @query("WITH c AS (SELECT l_returnflag, corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem GROUP BY 1) SELECT l_returnflag, round((a - b * c) / sqrt((1 - b * b) * (1 - c * c)), 6) AS r FROM c")
@@ -250,31 +260,14 @@ def paired_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- linear algebra ---------------------------------------------------------------------------------------------------
 
 
-@query("WITH x AS (SELECT vec_id, label, CAST(i AS INTEGER) AS i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(6)) AS i)) SELECT a.label, a.i, b.i AS j, round(sum(a.x * b.x), 6) AS s, count(*) AS n FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
-def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of products by group, of the first six coordinates like the SQL; gram_matrix_whole has all."""
-    long = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 6).cast("array<double>")).alias("i", "x"))
-    return linalg.gram(long, ["label"], ["vec_id"], "i", "x").withColumn("s", F.round("s", 6))
-
-
 _LONG = "WITH x AS (SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
 
 
 @query(_LONG + " SELECT a.label, a.i, b.i AS j, round(sum(a.x * b.x), 6) AS s, count(*) AS n FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
-def gram_matrix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of products by group, of all coordinates."""
-    long = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-    return linalg.gram(long, ["label"], ["vec_id"], "i", "x").withColumn("s", F.round("s", 6))
-
-
-@query(
-    """WITH x AS (SELECT vec_id, label, CAST(i AS INTEGER) AS i, CAST(embedding[i + 1] AS DOUBLE) AS x, vec_id % 5 > 0 AS train FROM embeddings, (SELECT unnest(range(6)) AS i)), f AS (SELECT label, i, avg(x) AS m, stddev_pop(x) AS s FROM x WHERE train GROUP BY ALL HAVING stddev_pop(x) > 1e-8), k AS (SELECT label, count(*) AS k FROM f GROUP BY 1)
-SELECT vec_id, i, round((x - m) / s / sqrt(k), 5) AS z FROM x JOIN f USING (label, i) JOIN k USING (label)"""
-)
-def group_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scaling by training rows, equal variance per group, of the first six coordinates like the SQL; group_zscore_whole has all."""
-    long = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5 > 0).alias("train"), F.posexplode(F.slice("embedding", 1, 6).cast("array<double>")).alias("i", "x"))
-    return linalg.group_scaled(long, "train", "label", "i", "x").select("vec_id", "i", F.round("z", 5).alias("z"))
+def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of products by group, of all coordinates."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return linalg.gram(e, "label", "v").withColumn("s", F.round("s", 6))
 
 
 @query(
@@ -282,7 +275,7 @@ def group_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """, f AS (SELECT label, i, avg(x) AS m, stddev_pop(x) AS s FROM x WHERE vec_id % 5 > 0 GROUP BY ALL HAVING stddev_pop(x) > 1e-8), k AS (SELECT label, count(*) AS k FROM f GROUP BY 1)
 SELECT vec_id, i, round((x - m) / s / sqrt(k), 5) AS z FROM x JOIN f USING (label, i) JOIN k USING (label)"""
 )
-def group_zscore_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def group_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaling by training rows, equal variance per group, of all coordinates."""
     long = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5 > 0).alias("train"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
     return linalg.group_scaled(long, "train", "label", "i", "x").select("vec_id", "i", F.round("z", 5).alias("z"))

@@ -83,8 +83,8 @@ def suspicious_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_of_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of each story's records."""
     r = table(spark, sf_dir, "relation").select("id", "story_id").distinct()
-    pages = r.groupBy("story_id").agg(F.slice(F.array_sort(F.collect_list("id")), 6, 5).alias("ids"))
-    return pages.select("story_id", F.explode("ids").alias("id"))
+    ranked = r.withColumn("k", F.row_number().over(Window.partitionBy("story_id").orderBy("id")))
+    return ranked.where("k <= 10").where("k > 5").select("story_id", "id")
 
 
 @query("SELECT decision_id, CASE WHEN assessment IS NULL THEN 'none' WHEN regexp_matches(lower(assessment), 'build|hash') THEN 'build' WHEN regexp_matches(lower(assessment), 'unit|unclear') THEN 'unit' ELSE 'other' END AS class FROM (SELECT DISTINCT decision_id, assessment FROM decision)")
@@ -485,12 +485,19 @@ def union_record_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.groupBy("collection").agg(F.count("*").alias("n"))
 
 
-@query("SELECT true AS same")
+@query(
+    """WITH a AS (SELECT l_partkey, l_returnflag FROM lineitem WHERE l_linenumber <= 2), b AS (SELECT l_partkey, l_returnflag FROM lineitem WHERE l_linenumber >= 2), d AS (SELECT DISTINCT l_partkey, l_returnflag FROM lineitem WHERE l_linenumber <= 2), u AS (SELECT l_partkey, l_returnflag FROM lineitem WHERE l_linenumber = 2 UNION ALL SELECT l_partkey, l_returnflag FROM lineitem WHERE l_linenumber = 1),
+x AS (SELECT 'parts' AS pair, (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM u)) AS only_first, (SELECT count(*) FROM (SELECT * FROM u EXCEPT ALL SELECT * FROM a)) AS only_second UNION ALL SELECT 'distinct', (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM d)), (SELECT count(*) FROM (SELECT * FROM d EXCEPT ALL SELECT * FROM a)) UNION ALL SELECT 'other', (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)), (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)))
+SELECT *, only_first + only_second = 0 AS same FROM x"""
+)
 def multiset_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether two ways give the same rows equally often: counts by order, and again from two parts."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag")
-    parts = li.where("l_returnflag = 'A'").unionAll(li.where("l_returnflag <> 'A'"))
-    return relate.same_multiset(li, parts)
+    """Rows that one of two frames holds more often: the same from two parts, without repeats, and from other lines."""
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_linenumber")
+    rows = lambda condition: li.where(condition).select("l_partkey", "l_returnflag")
+    first = rows("l_linenumber <= 2")
+    pairs = {"parts": rows("l_linenumber = 2").unionAll(rows("l_linenumber = 1")), "distinct": first.distinct(), "other": rows("l_linenumber >= 2")}
+    each = [relate.multiset_difference(first, other).select(F.lit(name).alias("pair"), "only_first", "only_second") for name, other in pairs.items()]
+    return each[0].unionAll(each[1]).unionAll(each[2]).withColumn("same", F.col("only_first") + F.col("only_second") == 0)
 
 
 QUERIES, ORACLE = catalog.queries, catalog.oracle

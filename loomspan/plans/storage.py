@@ -27,7 +27,7 @@ def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT story_id, segment, CAST(i AS INTEGER) AS block, list_aggregate(response_raw_indices[i * 16 + 1 : i * 16 + 16], 'string_agg', ',') AS v FROM (SELECT DISTINCT story_id, segment, response_raw_indices, unnest(range((len(response_raw_indices) + 15) // 16)) AS i FROM alignment WHERE len(response_raw_indices) > 0) WHERE i IN (0, 2)")
 def tensor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrays in blocks, of which some are read."""
+    """A3, A4: arrays in blocks, of which some are read."""
     a = table(spark, sf_dir, "alignment").where(F.size("response_raw_indices") > 0).select("story_id", "segment", "response_raw_indices").distinct()
     cut = a.select("story_id", "segment", F.explode(files.blocked(F.col("response_raw_indices"), 16)).alias("b")).where(F.col("b.block").isin(0, 2))
     return cut.select("story_id", "segment", "b.block", F.array_join(F.col("b.values").cast("array<string>"), ",").alias("v"))
@@ -59,7 +59,7 @@ def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, sha256('{"k":' || (props->>'$.k') || ',"type":"' || event_type || '"}') AS h FROM events""")
 def canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of JSON with sorted keys, whatever order it comes in."""
+    """V3: digest of JSON with sorted keys, whatever order it comes in."""
     text = F.concat(F.lit('{ "type" : "'), "event_type", F.lit('", "k": '), F.get_json_object("props", "$.k"), F.lit("}"))
     return table(spark, sf_dir, "events").select("event_id", text.alias("j")).select("event_id", jsons.canonical_hash("j").alias("h"))
 
@@ -94,12 +94,16 @@ def stream_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", F.round("x", 4).alias("x"), "n")
 
 
-@query("WITH d AS (SELECT DISTINCT story_id, unit_index FROM draft WHERE status = 'accepted'), r AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY unit_index) - 1 AS r FROM d), n AS (SELECT story_id, count(*) FILTER (WHERE r = unit_index) AS n FROM r GROUP BY 1) SELECT d.story_id, min(d.unit_index) AS unit_index FROM source_record d JOIN n ON n.story_id = d.story_id AND d.unit_index = n.n GROUP BY 1")
+@query(
+    """WITH u AS (SELECT DISTINCT story_id, unit_index, id FROM source_record), k AS (SELECT u.*, EXISTS (SELECT 1 FROM relation r WHERE r.unit_id = u.id) AS ok FROM u), g AS (SELECT story_id, unit_index, ok, row_number() OVER (PARTITION BY story_id ORDER BY unit_index) - 1 AS r FROM k)
+SELECT story_id, min(unit_index) AS unit_index FROM g WHERE NOT ok GROUP BY story_id"""
+)
 def next_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exactly the next unit of each story after those that are saved without gap."""
-    d = table(spark, sf_dir, "draft").groupBy("story_id", "unit_index").agg(F.max(F.col("status") == "accepted").alias("ok"))
-    saved = relate.contiguous_prefix(d, "story_id", "unit_index", "ok").groupBy("story_id").agg(F.count_if(F.col("state") == "taken").cast("int").alias("unit_index"))
-    return table(spark, sf_dir, "source_record").select("story_id", "unit_index").distinct().join(saved, ["story_id", "unit_index"], "left_semi")
+    """The next unit of each story after those that have relations without gap."""
+    done = table(spark, sf_dir, "relation").select(F.col("unit_id").alias("id"), F.lit(True).alias("ok")).distinct()
+    u = table(spark, sf_dir, "source_record").select("story_id", "unit_index", "id").distinct().join(done, "id", "left").select("story_id", "unit_index", F.coalesce("ok", F.lit(False)).alias("ok"))
+    state = relate.contiguous_prefix(u, "story_id", "unit_index", "ok")
+    return state.where("state <> 'taken'").groupBy("story_id").agg(F.min("unit_index").alias("unit_index"))
 
 
 QUERIES, ORACLE = catalog.queries, catalog.oracle

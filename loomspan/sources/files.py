@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import io
 import re
 import struct
@@ -197,10 +196,30 @@ def read_annot(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, run, "path string, vertex int, code int, name string")
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Trace table grouped by source and repeat: ``source, repeat, kinds`` (map of kind to its arrays in order)."""
-    rows = spark.read.parquet(path).groupBy("source", "repeat", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "values"))), lambda s: s["values"]).alias("arrays"))
-    return rows.groupBy("source", "repeat").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "arrays")))).alias("kinds"))
+def write_traces(df: DataFrame, path: str) -> None:
+    """Write traces (``source, repeat, kind, idx, values``) by source; only the sources in the frame are replaced, so an export that was stopped goes on where it was."""
+    df.repartition("source").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+
+
+def read_traces(spark: SparkSession, path: str, source: int | str | None = None) -> DataFrame:
+    """Traces of all sources or of one, which prunes the folders: ``source, repeat, kind, idx, values``, one row an array, so that no source is held in one row."""
+    rows = spark.read.parquet(path)
+    return (rows if source is None else rows.where(F.col("source") == source)).select("source", "repeat", "kind", "idx", "values")
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """Files below a directory: ``folder, name, size``; folders relative to it. No content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
+    whole = F.regexp_replace("path", r"^[a-z]+:/*", "/")
+    inside = F.substring_index(whole, path.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    return found.select(F.regexp_extract(inside, r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract(inside, r"([^/]*)$", 1).alias("name"), "size")
+
+
+def states(spark: SparkSession, path: str, layer: int, story: int, delays: list[int]) -> DataFrame:
+    """Vectors of a layer and story (``t, values``, folders by layer and story) as they were so many rows before: ``t, delay, values``; rows before the first give none."""
+    rows = spark.read.parquet(path).where((F.col("layer") == layer) & (F.col("story") == story)).select("t", "values")
+    moved = rows.select(F.explode(F.array(*map(F.lit, delays))).alias("delay"), "t", "values").select((F.col("t") + F.col("delay")).alias("t"), "delay", "values")
+    return moved.join(rows.select("t"), "t", "left_semi")
 
 
 class _Links(HTMLParser):
@@ -251,7 +270,3 @@ def content_kind(content: Column) -> Column:
     text = F.when(head.startswith("<!doctype html") | head.startswith("<html"), "html").when(head.startswith("<"), "xml").when(head.startswith("{") | head.startswith("["), "json").otherwise("other")
     return F.coalesce(out, text)
 
-
-def gunzipped(content: bytes) -> bytes:
-    """Whole content of a gzip file."""
-    return gzip.decompress(content)

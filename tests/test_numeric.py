@@ -156,10 +156,10 @@ def test_whole_vectors(spark, data):
     fit, y = numeric.QUERIES["ridge_selected"](spark, data).first(), frame["label"].to_numpy(float)
     centred = x - x.mean(0)
     assert np.allclose(fit["weights"], np.linalg.solve(centred.T @ centred + fit["alpha"] * np.eye(p), centred.T @ (y - y.mean())))
-    sums = {(r["label"], r["i"], r["j"]): r["s"] for r in numeric.QUERIES["gram_matrix_whole"](spark, data).collect()}
+    sums = {(r["label"], r["i"], r["j"]): r["s"] for r in numeric.QUERIES["gram_matrix"](spark, data).collect()}
     own = x[frame["label"] == 0]
     assert len(sums) == frame["label"].nunique() * p * (p + 1) // 2 and np.allclose([sums[0, p - 2, p - 1], sums[0, 0, p - 1]], [own[:, p - 2] @ own[:, p - 1], own[:, 0] @ own[:, p - 1]], atol=1e-5)
-    assert numeric.QUERIES["group_zscore_whole"](spark, data).count() == len(x) * p
+    assert numeric.QUERIES["group_zscore"](spark, data).count() == len(x) * p
 
 
 def test_all_letters_of_all_texts(spark, tmp_path):
@@ -168,11 +168,11 @@ def test_all_letters_of_all_texts(spark, tmp_path):
     part = next((tmp_path / "made").glob("*.parquet"))
     (tmp_path / "in").mkdir()
     part.rename(tmp_path / "in" / "documents.parquet")
-    query = text_plans.QUERIES["letter_histogram_whole"]
+    query = text_plans.QUERIES["letter_histogram"]
     got = {(r["source"], r["letter"]): r["n"] for r in query(spark, str(tmp_path / "in")).collect()}
     assert len(got) == 3 * 26 and {k for k, n in got.items() if n and k[0] is None} == {(None, c) for c in "quizfox"}
     assert (got["a", "i"], got["a", "o"], got["a", "z"], got["b", "k"], got["b", "i"]) == (1, 2, 1, 1, 2)
-    check(spark, str(tmp_path / "in"), query, text_plans.ORACLE["letter_histogram_whole"])
+    check(spark, str(tmp_path / "in"), query, text_plans.ORACLE["letter_histogram"])
 
 
 def test_bins_reach_the_last_event(spark, data, tmp_path):

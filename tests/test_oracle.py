@@ -5,7 +5,7 @@ import importlib
 import pytest
 from oracle import check, rows
 
-MODULES = ("data_problems", "text", "clock", "aggregates", "relational", "graphs", "numeric", "storage", "planning")
+MODULES = ("data_problems", "text", "clock", "aggregates", "relational", "graphs", "numeric", "storage", "planning", "roundtrips", "questions")
 CASES = [(m, name) for m in MODULES for name in importlib.import_module(f"loomspan.plans.{m}").QUERIES]
 
 
