@@ -13,7 +13,9 @@ from loomspan.operators.skew import skew_join
 from loomspan.session import kept
 
 # Feature groups by what they hold.
-GROUPS = {"C": "concept of a mentioned entity", "R": "relation type", "B": "role and filler's concept", "PB": "predicate, role and filler's concept", "BC": "constituents of PB", "D": "polarity and tense", "S": "context kind", "U": "uncertain reference"}
+GROUPS = {
+    "C": "concept of a mentioned entity", "R": "relation type", "B": "role and filler's concept", "PB": "predicate, role and filler's concept", "BC": "constituents of PB", "D": "polarity and tense", "S": "context kind", "U": "uncertain reference",
+    "L": "surface and form of a mention", "BR": "role, concept and form of a filler that a mention names", "PBR": "the same with the predicate", "GB": "all roles and concepts of an event", "GBR": "all roles, concepts and forms of an event's named fillers"}
 
 
 def feature_key(group: Column, parts: Column) -> Column:
@@ -32,6 +34,11 @@ def emit(view: GraphView) -> DataFrame:
     mention = view.mentions.join(concept, "target")
     bound = view.arguments.join(concept, "target").join(view.events.select(F.col("id").alias("event"), "predicate").distinct(), "event")
     ok = resolved()
+    named = bound.withColumnRenamed("support", "_bound").join(view.mentions.select(F.col("id").alias("mention"), "form", F.col("support").alias("_named")).distinct(), "mention")
+    sure = resolved("_bound") & resolved("_named")
+    whole = lambda df, text: df.groupBy(*place, "event").agg(F.array_join(F.array_sort(F.collect_set(text)), ";").alias("all"))
+    part = lambda *columns: F.concat_ws("/", *[F.coalesce(F.col(c), F.lit("")) for c in columns])
+    surface = view.mentions.withColumn("surface", F.md5(F.coalesce("quote", F.lit(""))))
     triple = row(bound, "PB", ["predicate", "role", "concept"], ok)
     return reduce(
         DataFrame.unionByName,
@@ -44,6 +51,11 @@ def emit(view: GraphView) -> DataFrame:
             row(view.events, "D", ["polarity", "tense"]),
             row(view.contexts, "S", ["kind"], ok),
             row(view.mentions.where("target IS NULL"), "U", ["form"]),
+            row(surface, "L", ["surface", "form"]),
+            row(named, "BR", ["role", "concept", "form"], sure),
+            row(named, "PBR", ["predicate", "role", "concept", "form"], sure),
+            row(whole(bound.where(ok), part("role", "concept")), "GB", ["all"]),
+            row(whole(named.where(sure), part("role", "concept", "form")), "GBR", ["all"]),
         ],
     )
 
@@ -98,6 +110,20 @@ def reference_index(view: GraphView) -> DataFrame:
     return skew_join(ranked, first, ["target"]).select("target", (F.col("_k") - F.col("_first")).alias("place"), "unit_index", "start", "id", "form")
 
 
+def design(counts: DataFrame, vocab: DataFrame, slots: DataFrame, key: str, delays: list[int], measured: DataFrame) -> DataFrame:
+    """Sparse design rows: ``key, row, delay, column, value``, from counts of units to delayed measured rows in one path.
+
+    ``slots``: ``unit_id, key, slot``, the row from which a unit is known; units without one take no part. ``measured``: ``key, row``, distinct. Counts of units in the same slot add up, and
+    only what a column of the vocabulary holds is carried on, so nothing is ever dense.
+    """
+    if not delays or len(set(delays)) != len(delays) or min(delays) < 0:
+        raise ValueError("delays must be different and not negative")
+    known = counts.join(vocab.select("feature", "column"), "feature").join(slots.where("slot >= 0").select("unit_id", key, "slot").distinct(), "unit_id")
+    binned = known.groupBy(key, "slot", "column").agg(F.sum("n").alias("value"))
+    moved = binned.select(key, "slot", "column", "value", F.explode(F.array(*map(F.lit, delays))).alias("delay")).withColumn("row", F.col("slot") + F.col("delay"))
+    return moved.join(measured, [key, "row"], "left_semi").select(key, "row", "delay", "column", "value")
+
+
 def selected_for_review(reasons: dict[str, DataFrame], key: str) -> DataFrame:
     """Rows that several selections name, each once with its sorted reasons."""
     tagged = [df.select(key, F.lit(name).alias("reason")) for name, df in reasons.items()]

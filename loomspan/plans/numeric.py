@@ -23,14 +23,19 @@ TRAIN = "c"
 _EMIT = (
     _GRAPH
     + """, um AS (SELECT DISTINCT id, unit_id, target, form, support FROM mention), pos AS (SELECT DISTINCT event, place, role, target, support FROM ar),
-ec AS (SELECT DISTINCT id, concept FROM en WHERE concept IS NOT NULL), ep AS (SELECT DISTINCT id, predicate, unit_id FROM ev), ab AS (SELECT p.unit_id, p.predicate, a.role, c.concept, coalesce(a.support <> 'unresolved', true) AS ok FROM pos a JOIN ec c ON c.id = a.target JOIN ep p ON p.id = a.event),
+ec AS (SELECT DISTINCT id, concept FROM en WHERE concept IS NOT NULL), ep AS (SELECT DISTINCT id, predicate, unit_id FROM ev), nm AS (SELECT p.unit_id, a.event, p.predicate, a.role, c.concept, m.form, coalesce(a.support <> 'unresolved', true) AND coalesce(m.support <> 'unresolved', true) AS ok FROM (SELECT DISTINCT event, place, role, target, support, mention FROM ar) a JOIN ec c ON c.id = a.target JOIN ep p ON p.id = a.event JOIN (SELECT DISTINCT id, form, support FROM mention) m ON m.id = a.mention),
+ab AS (SELECT p.unit_id, a.event, p.predicate, a.role, c.concept, coalesce(a.support <> 'unresolved', true) AS ok FROM pos a JOIN ec c ON c.id = a.target JOIN ep p ON p.id = a.event),
 f AS (SELECT unit_id, 'C' AS grp, [concept] AS parts, coalesce(support <> 'unresolved', true) AS ok FROM um JOIN ec ON ec.id = um.target
 UNION ALL SELECT unit_id, 'R', [coalesce(type, '')], coalesce(support <> 'unresolved', true) FROM (SELECT DISTINCT id, unit_id, type, source, target, contexts, support FROM relation)
 UNION ALL SELECT unit_id, 'B', [coalesce(role, ''), concept], ok FROM ab UNION ALL SELECT unit_id, 'PB', [coalesce(predicate, ''), coalesce(role, ''), concept], ok FROM ab
 UNION ALL SELECT unit_id, 'BC', unnest([['predicate', coalesce(predicate, '')], ['role', coalesce(role, '')], ['filler', concept]]), ok FROM ab
 UNION ALL SELECT unit_id, 'D', [coalesce(polarity, ''), coalesce(tense, '')], true FROM (SELECT DISTINCT unit_id, id, predicate, polarity, tense, contexts FROM ev)
 UNION ALL SELECT unit_id, 'S', [coalesce(kind, '')], coalesce(support <> 'unresolved', true) FROM (SELECT DISTINCT id, unit_id, kind, holder, parents, support FROM context)
-UNION ALL SELECT unit_id, 'U', [coalesce(form, '')], true FROM um WHERE target IS NULL)"""
+UNION ALL SELECT unit_id, 'U', [coalesce(form, '')], true FROM um WHERE target IS NULL
+UNION ALL SELECT unit_id, 'L', [md5(coalesce(quote, '')), coalesce(form, '')], true FROM (SELECT DISTINCT id, unit_id, target, form, support, evidence.quote AS quote FROM mention)
+UNION ALL SELECT unit_id, 'BR', [coalesce(role, ''), concept, coalesce(form, '')], ok FROM nm UNION ALL SELECT unit_id, 'PBR', [coalesce(predicate, ''), coalesce(role, ''), concept, coalesce(form, '')], ok FROM nm
+UNION ALL SELECT unit_id, 'GB', [string_agg(DISTINCT coalesce(role, '') || '/' || concept, ';' ORDER BY coalesce(role, '') || '/' || concept)], true FROM ab WHERE ok GROUP BY unit_id, event
+UNION ALL SELECT unit_id, 'GBR', [string_agg(DISTINCT coalesce(role, '') || '/' || concept || '/' || coalesce(form, ''), ';' ORDER BY coalesce(role, '') || '/' || concept || '/' || coalesce(form, ''))], true FROM nm WHERE ok GROUP BY unit_id, event)"""
 )
 
 
@@ -85,6 +90,23 @@ def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("unit_id", F.array_join(F.transform(F.map_entries("terms"), lambda e: F.concat_ws(":", e.key.cast("string"), e.value.cast("string"))), " ").alias("terms"))
 
 
+@query(
+    _EMIT
+    + """, k AS (SELECT unit_id, sha256('{"group":"' || grp || '","parts":["' || array_to_string(parts, '","') || '"]}') AS feature, count(*) AS n FROM f WHERE ok GROUP BY ALL),
+v AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS c FROM (SELECT feature FROM k WHERE md5(regexp_extract(unit_id, '^(.*)_u[0-9]+$', 1)) < 'c' GROUP BY feature HAVING count(DISTINCT unit_id) >= 3)),
+sl AS (SELECT DISTINCT id AS unit_id, story_id, raw_feature_bin AS slot FROM source_record WHERE raw_feature_bin >= 0), b AS (SELECT story_id, slot, c, sum(n) AS x FROM k JOIN v USING (feature) JOIN sl USING (unit_id) GROUP BY ALL), me AS (SELECT DISTINCT story_id, unnest(response_raw_indices) AS r FROM alignment)
+SELECT b.story_id, CAST(slot + d AS INTEGER) AS "row", d AS delay, count(*) AS columns, CAST(sum(x) AS BIGINT) AS total, CAST(sum(x * (c % 97)) AS BIGINT) AS mixed FROM b, (SELECT unnest([1, 2, 3, 4]) AS d) JOIN me ON me.story_id = b.story_id AND me.r = slot + d GROUP BY ALL"""
+)
+def semantic_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """counts to vocabulary to bins to delayed measured rows, here summed by row and delay."""
+    counts = kept(features.feature_counts(_emitted(spark, sf_dir)))
+    vocab = features.fit_vocabulary(counts, counts.where(F.md5(F.regexp_extract("unit_id", "^(.*)_u[0-9]+$", 1)) < TRAIN), 3)
+    slots = table(spark, sf_dir, "source_record").select(F.col("id").alias("unit_id"), "story_id", F.col("raw_feature_bin").alias("slot"))
+    measured = table(spark, sf_dir, "alignment").select("story_id", F.explode("response_raw_indices").alias("row")).distinct()
+    rows = features.design(counts.drop("story_id"), vocab, slots, "story_id", [1, 2, 3, 4], measured)
+    return rows.groupBy("story_id", "row", "delay").agg(F.count("*").alias("columns"), F.sum("value").alias("total"), F.sum(F.col("value") * (F.col("column") % 97)).alias("mixed"))
+
+
 @query("WITH m AS (SELECT DISTINCT id, unit_id, target, form, evidence.start_token AS s FROM mention WHERE target IS NOT NULL) SELECT target, count(*) AS n, arg_min(id, struct_pack(u := CAST(regexp_extract(unit_id, '_u([0-9]+)$', 1) AS INTEGER), s := coalesce(s, -1), i := id)) AS first FROM m GROUP BY target")
 def reference_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mentions of every record, here their number and first."""
