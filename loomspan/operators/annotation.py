@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from loomspan.operators import hierarchy
 from loomspan.operators.graph import equivalence_classes
-from loomspan.operators.nested import node_table
+from loomspan.operators.nested import is_object, node_table
 from loomspan.session import kept, table
 
 
@@ -236,6 +236,40 @@ def answer(spark: SparkSession, view: GraphView, asked: dict[str, dict]) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
+def violations(mention: DataFrame, context: DataFrame, relation: DataFrame, identity_link: DataFrame, decision: DataFrame, draft: DataFrame) -> DataFrame:
+    """What breaks a rule: ``rule, id``, all rules over all tables, nothing stops at the first; ids of decisions and drafts as text.
+
+    Each rule is one select; copies of a record count once.
+    """
+    m = kept(mention.select("id", "story_id", "target", "antecedent", "support", "evidence").distinct())
+    c = kept(context.select("id", "parents").distinct())
+    r = relation.select("id", "source", "target").distinct()
+    d = kept(decision.select(F.col("decision_id").cast("string").alias("id"), "operations").distinct())
+    graphs = draft.select(F.col("draft_id").cast("string").alias("id"), "graph").distinct()
+    parents = c.select("id", F.explode("parents").alias("parent")).where("parent IS NOT NULL")
+    known = F.filter("parents", lambda x: x.isNotNull())
+    rules = {
+        "duplicate_id": m.groupBy("id").count().where("count > 1"),
+        "foreign_prefix": m.where(~F.startswith("id", F.concat("story_id", F.lit(":")))),
+        "null_target_not_unresolved": m.where("target IS NULL AND support <> 'unresolved'"),
+        "missing_antecedent": m.where("antecedent IS NOT NULL").join(m.select(F.col("id").alias("antecedent")), "antecedent", "left_anti"),
+        "empty_span": m.where("evidence.start_token >= evidence.end_token"),
+        "unanchored_evidence": m.where("evidence.verbatim IS NULL"),
+        "blank_target": m.where("trim(target) = ''"),
+        "changed_quote": m.where("evidence.quote <> evidence.verbatim"),
+        "missing_parent": parents.join(c.select(F.col("id").alias("parent")), "parent", "left_anti").select("id").distinct(),
+        "own_parent": c.where(F.array_contains("parents", F.col("id"))),
+        "repeated_parent": c.where(F.size(F.array_distinct(known)) < F.size(known)),
+        "open_relation": r.where("source IS NULL OR target IS NULL"),
+        "relation_to_itself": r.where("source = target"),
+        "link_to_itself": identity_link.select("id", F.col("left").alias("a"), F.col("right").alias("b")).distinct().where("a = b"),
+        "no_operations": d.where(F.coalesce(F.size("operations"), F.lit(0)) <= 0),
+        "operation_without_reason": d.select("id", F.explode("operations").alias("x")).where("coalesce(trim(x.reason), '') = ''").select("id").distinct(),
+        "no_object": graphs.where(~F.coalesce(is_object("graph"), F.lit(False))),
+    }
+    return reduce(DataFrame.unionAll, [df.select(F.lit(name).alias("rule"), "id") for name, df in rules.items()])
+
+
 def conflicts(answers: DataFrame, keys: list[str], gold: str) -> DataFrame:
     """Add ``label_state``: unresolved for all rows of a query whose gold differs between its copies, else annotation_supported."""
     per = answers.groupBy(*keys).agg(F.countDistinct(gold).alias("_n"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.operators.skew import skew_join
+from loomspan.sources import sinks
+
 
 #: Rows into which the partial sums of one group are merged before the last merge, so no task sees one for each Arrow batch.
 MERGES = 64
@@ -159,3 +162,123 @@ def ridge(df: DataFrame, by: str, features: str, target: str, alphas: list[float
         return pd.DataFrame([(frame["by"].iloc[0], alphas[best], losses[best], w[0], w[1:])], columns=[by, "alpha", "loss", "intercept", "weights"])
 
     return whole.groupBy("by").applyInPandas(run, f"{by} {kinds[0]}, alpha double, loss double, intercept double, weights array<double>")
+
+
+# --- encoding with groups of features ----------------------------------------------------------------------------------
+
+
+def fold_sums(df: DataFrame, by: str, fold: str, blocks: list[str], target: str) -> DataFrame:
+    """Products of (1, features, target) summed by group and fold: ``by, fold, sizes, g``; all that fits, losses and mixtures below need.
+
+    ``blocks`` name array columns, one for each group of features; ``sizes`` are their lengths. Sums are merged in two steps, so a task holds no more than MERGES of
+    them; rows with nulls are left out.
+    """
+
+    def partial(frames):
+        for frame in frames:
+            for (key, f), part in frame.groupby([by, fold], sort=False):
+                held = [np.stack(part[b].to_numpy()).astype(float) for b in blocks]
+                z = np.c_[np.ones(len(part)), np.hstack(held), part[target].to_numpy(float)]
+                yield pd.DataFrame([(key, f, [h.shape[1] for h in held], (z.T @ z).ravel())], columns=["by", "fold", "sizes", "g"])
+
+    def added(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame.iloc[0]
+        return pd.DataFrame([(first["by"], first["fold"], first["sizes"], np.sum(np.stack(frame["g"].to_numpy()), axis=0))], columns=["by", "fold", "sizes", "g"])
+
+    kinds = (df.schema[by].dataType.simpleString(), df.schema[fold].dataType.simpleString())
+    whole = df.select(by, fold, *blocks, target).dropna()
+    return _merged(whole.mapInPandas(partial, f"by {kinds[0]}, fold {kinds[1]}, sizes array<int>, g array<double>"), ["by", "fold"], added)
+
+
+class _Spectrum:
+    """Ridge solutions for all penalties from one decomposition of centred products, with each block of features scaled by the root of its weight."""
+
+    def __init__(self, g: np.ndarray, scale: np.ndarray) -> None:
+        p = len(scale)
+        self.mean, self.scale = g[0, 1:] / g[0, 0], scale
+        centred = g[1:, 1:] - g[0, 0] * np.outer(self.mean, self.mean)
+        self.values, self.vectors = np.linalg.eigh(centred[:p, :p] * np.outer(scale, scale))
+        self.rotated = self.vectors.T @ (scale * centred[:p, p])
+
+    def fit(self, alpha: float) -> np.ndarray:
+        """Intercept and weights in the features' own scale."""
+        w = self.scale * (self.vectors @ (self.rotated / (np.maximum(self.values, 0) + alpha)))
+        return np.r_[self.mean[-1] - self.mean[:-1] @ w, w]
+
+
+def _scales(sizes: list[int], mixture: list[float]) -> np.ndarray:
+    return np.repeat(np.sqrt(np.asarray(mixture, float)), sizes)
+
+
+def _folds(frame: pd.DataFrame) -> dict[object, np.ndarray]:
+    size = int(round(len(frame["g"].iloc[0]) ** 0.5))
+    return {f: np.asarray(g).reshape(size, size) for f, g in sorted(zip(frame["fold"], frame["g"], strict=True), key=lambda x: x[0])}
+
+
+def encoding_grid(sums: DataFrame, mixtures: list[list[float]], alphas: list[float]) -> DataFrame:
+    """Every mixture of feature groups with every penalty: ``by, mixture (its place), alpha, loss, intercept, weights``.
+
+    The kernel of a mixture is the sum of the groups' kernels times their weights, here in its primal form. Loss is the mean squared error of held-out rows in closed form from the sums; for each fold
+    and mixture one spectrum serves all penalties. With one fold the loss is null. ``sums`` as ``fold_sums`` gives them.
+    """
+    kind = sums.schema["by"].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        folds, sizes = _folds(frame), list(frame["sizes"].iloc[0])
+        total = sum(folds.values())
+        out = []
+        for k, mixture in enumerate(mixtures):
+            scale = _scales(sizes, mixture)
+            left = [(_Spectrum(total - held, scale), held) for held in folds.values() if total[0, 0] - held[0, 0] >= 2]
+            whole = _Spectrum(total, scale)
+            for alpha in alphas:
+                errors = [b @ held @ b for b, held in ((np.r_[-s.fit(alpha), 1.0], held) for s, held in left)]
+                w = whole.fit(alpha)
+                out.append((frame["by"].iloc[0], k, float(alpha), sum(errors) / total[0, 0] if left else None, w[0], w[1:]))
+        return pd.DataFrame(out, columns=["by", "mixture", "alpha", "loss", "intercept", "weights"]).astype({"loss": "float64"})
+
+    return sums.groupBy("by").applyInPandas(run, f"by {kind}, mixture int, alpha double, loss double, intercept double, weights array<double>")
+
+
+def selected_encoding(grid: DataFrame) -> DataFrame:
+    """The entry of least loss for each group; of equal losses the first mixture, then the least penalty."""
+    best = F.min_by(F.struct("mixture", "alpha", "loss", "intercept", "weights"), F.struct(F.coalesce("loss", F.lit(0.0)), "mixture", "alpha"))
+    return grid.groupBy("by").agg(best.alias("b")).select("by", "b.*")
+
+
+def held_out_fits(sums: DataFrame, selected: DataFrame, mixtures: list[list[float]]) -> DataFrame:
+    """Fits of the selected mixture and penalty without each fold: ``by, fold, intercept, weights``."""
+    kinds = (sums.schema["by"].dataType.simpleString(), sums.schema["fold"].dataType.simpleString())
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        folds, scale = _folds(frame), _scales(list(frame["sizes"].iloc[0]), mixtures[int(frame["mixture"].iloc[0])])
+        total, alpha = sum(folds.values()), float(frame["alpha"].iloc[0])
+        fits = [(f, _Spectrum(total - held, scale).fit(alpha)) for f, held in folds.items() if total[0, 0] - held[0, 0] >= 2]
+        return pd.DataFrame([(frame["by"].iloc[0], f, w[0], w[1:]) for f, w in fits], columns=["by", "fold", "intercept", "weights"])
+
+    chosen = sums.join(selected.select("by", "mixture", "alpha"), "by")
+    return chosen.groupBy("by").applyInPandas(run, f"by {kinds[0]}, fold {kinds[1]}, intercept double, weights array<double>")
+
+
+def predicted(df: DataFrame, fits: DataFrame, keys: dict[str, str], blocks: list[str], name: str = "predicted") -> DataFrame:
+    """Add ``name``: intercept plus features times weights, of the fit with the row's ``keys`` (column of the frame: column of the fits); rows without a fit are left out.
+
+    A group may hold any part of the rows; they are split in the join.
+    """
+    named = fits.select(*[F.col(b).alias(a) for a, b in keys.items()], F.col("intercept").alias("_c"), F.col("weights").alias("_w"))
+    joined = skew_join(df, named, list(keys))
+    product = F.aggregate(F.zip_with(F.concat(*[F.col(b).cast("array<double>") for b in blocks]), "_w", lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+    return joined.withColumn(name, F.col("_c") + product).drop("_c", "_w")
+
+
+def save_fit(root: str, fits: dict[str, DataFrame], identity: dict) -> str:
+    """Publish fitted tables (weights, vocabularies, scalers) as one build under the digest of what they are; returns the digest."""
+    return sinks.publish(next(iter(fits.values())).sparkSession, root, fits, identity)
+
+
+def load_fit(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A fitted table of the newest build; one whose content is not that of the receipt raises."""
+    newest = sinks.latest(spark, root)
+    if name in sinks.verify(spark, newest):
+        raise ValueError(f"{name} is not what was saved")
+    return spark.read.parquet(f"{newest}/{name}")

@@ -7,9 +7,11 @@ from dataclasses import dataclass, field
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.functions.jsons import parsed, written
@@ -62,6 +64,12 @@ def parse_object(text: str | None) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
+@F.pandas_udf(T.BooleanType())
+def is_object(texts: pd.Series) -> pd.Series:
+    """Whether a text is one complete JSON object, of any depth; false for null."""
+    return texts.map(lambda text: parse_object(text) is not None).astype(bool)
+
+
 def _members(value: object, kind: Kind) -> list[tuple[int, object]]:
     """Place and value of the nodes that a member holds: null elements take a place and give no node."""
     if value is None:

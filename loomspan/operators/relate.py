@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.operators.skew import skew_join
+
 
 def unique_matches(queries: DataFrame, rows: DataFrame, selector: list[str]) -> tuple[DataFrame, DataFrame]:
     """Queries whose selector fits exactly one row, joined to it; and the number of skipped ones by reason.
@@ -119,3 +121,28 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     counted = a.withColumn("_d", F.lit(1)).unionByName(b.withColumn("_d", F.lit(-1))).groupBy(*a.columns).agg(F.sum("_d").alias("_d"))
     part = lambda x: F.coalesce(F.sum(F.greatest(x, F.lit(0))), F.lit(0))
     return counted.agg(part(F.col("_d")).alias("only_first"), part(-F.col("_d")).alias("only_second"))
+
+
+def broken_links(df: DataFrame, key: str, order: list[str], digest: str, parent: str) -> DataFrame:
+    """Rows of a hash chain whose stored ``parent`` is not the ``digest`` of the row before (null for the first): the rows with ``expected``."""
+    before = F.lag(digest).over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("expected", before).where(~F.col(parent).eqNullSafe(F.col("expected")))
+
+
+def comparator(df: DataFrame, same: list[str], other: DataFrame, value: str) -> DataFrame:
+    """Add ``comparator``, the value of the one row of ``other`` with the same keys, null without any; more than one raises."""
+    counted = other.groupBy(*same).agg(F.count("*").alias("_n"), F.min(value).alias("comparator"))
+    one = counted.withColumn("comparator", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("more than one comparator for "), F.to_json(F.struct(*same)))).cast(other.schema[value].dataType)).otherwise(F.col("comparator")))
+    return df.join(one.drop("_n"), same, "left")
+
+
+def renamed(df: DataFrame, key: str, column: str, field: str, names: DataFrame) -> DataFrame:
+    """The array of structs ``column`` with its ``field`` renamed by ``names`` (``old, new``), order kept; names that are not there stay: ``key, column``.
+
+    ``key`` must be unique. Elements meet the names by a join and come back by key, so a list of names may be of any size; null and empty arrays stay as they are.
+    """
+    each = df.where(F.size(column) > 0).select(key, F.posexplode(column).alias("_i", "_x"))
+    met = skew_join(each.withColumn("_old", F.col("_x")[field]), names.select(F.col("old").alias("_old"), F.col("new").alias("_new")), ["_old"], "left")
+    changed = met.withColumn("_x", F.col("_x").withField(field, F.coalesce("_new", "_old")))
+    back = changed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("_made"))
+    return df.select(key, column).join(back, key, "left").select(key, F.coalesce("_made", column).alias(column))

@@ -282,25 +282,17 @@ def corrections_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT DISTINCT id, story_id, unit_id, target, antecedent, support, evidence FROM mention), v AS (SELECT 'duplicate_id' AS rule, id FROM m GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'foreign_prefix', id FROM m WHERE NOT starts_with(id, story_id || ':')
-UNION ALL SELECT 'null_target_not_unresolved', id FROM m WHERE target IS NULL AND support <> 'unresolved' UNION ALL SELECT 'missing_antecedent', id FROM m WHERE antecedent IS NOT NULL AND antecedent NOT IN (SELECT id FROM m) UNION ALL SELECT 'empty_span', id FROM m WHERE evidence.start_token >= evidence.end_token UNION ALL SELECT 'unanchored_evidence', id FROM m WHERE evidence.verbatim IS NULL) SELECT rule, count(*) AS n FROM v GROUP BY rule"""
+    """WITH m AS (SELECT DISTINCT id, story_id, unit_id, target, antecedent, support, evidence FROM mention), c AS (SELECT DISTINCT id, parents FROM context), e AS (SELECT id, unnest(parents) AS p FROM c), r AS (SELECT DISTINCT id, source, target, type FROM relation), l AS (SELECT DISTINCT id, "left" AS a, "right" AS b FROM identity_link), d AS (SELECT DISTINCT decision_id, operations FROM decision), o AS (SELECT decision_id, unnest(operations) AS x FROM d),
+v AS (SELECT 'duplicate_id' AS rule, id FROM m GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'foreign_prefix', id FROM m WHERE NOT starts_with(id, story_id || ':')
+UNION ALL SELECT 'null_target_not_unresolved', id FROM m WHERE target IS NULL AND support <> 'unresolved' UNION ALL SELECT 'missing_antecedent', id FROM m WHERE antecedent IS NOT NULL AND antecedent NOT IN (SELECT id FROM m) UNION ALL SELECT 'empty_span', id FROM m WHERE evidence.start_token >= evidence.end_token UNION ALL SELECT 'unanchored_evidence', id FROM m WHERE evidence.verbatim IS NULL
+UNION ALL SELECT 'blank_target', id FROM m WHERE trim(target) = '' UNION ALL SELECT 'changed_quote', id FROM m WHERE evidence.quote <> evidence.verbatim UNION ALL SELECT DISTINCT 'missing_parent', id FROM e WHERE p IS NOT NULL AND p NOT IN (SELECT id FROM c) UNION ALL SELECT 'own_parent', id FROM c WHERE list_contains(parents, id) UNION ALL SELECT 'repeated_parent', id FROM c WHERE len(list_distinct(parents)) < len(list_filter(parents, lambda x: x IS NOT NULL))
+UNION ALL SELECT 'open_relation', id FROM r WHERE source IS NULL OR target IS NULL UNION ALL SELECT 'relation_to_itself', id FROM r WHERE source = target UNION ALL SELECT 'link_to_itself', id FROM l WHERE a = b UNION ALL SELECT 'no_operations', CAST(decision_id AS VARCHAR) FROM d WHERE coalesce(len(operations), 0) = 0 UNION ALL SELECT DISTINCT 'operation_without_reason', CAST(decision_id AS VARCHAR) FROM o WHERE coalesce(trim(x.reason), '') = ''
+UNION ALL SELECT 'no_object', CAST(draft_id AS VARCHAR) FROM (SELECT DISTINCT draft_id, graph FROM draft) WHERE NOT CASE WHEN json_valid(graph) THEN json_type(graph) = 'OBJECT' ELSE false END) SELECT rule, count(*) AS n FROM v GROUP BY rule"""
 )
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1, V2: one select per rule, all violations collected."""
-    m = table(spark, sf_dir, "mention").select("id", "story_id", "unit_id", "target", "antecedent", "support", "evidence").distinct()
-    rule = lambda name, df: df.select(F.lit(name).alias("rule"), "id")
-    rules = [
-        rule("duplicate_id", m.groupBy("id").count().where("count > 1")),
-        rule("foreign_prefix", m.where(~F.startswith("id", F.concat("story_id", F.lit(":"))))),
-        rule("null_target_not_unresolved", m.where("target IS NULL AND support <> 'unresolved'")),
-        rule("missing_antecedent", m.where("antecedent IS NOT NULL").join(m.select(F.col("id").alias("antecedent")), "antecedent", "left_anti")),
-        rule("empty_span", m.where("evidence.start_token >= evidence.end_token")),
-        rule("unanchored_evidence", m.where("evidence.verbatim IS NULL")),
-    ]
-    whole = rules[0]
-    for r in rules[1:]:
-        whole = whole.unionAll(r)
-    return whole.groupBy("rule").agg(F.count("*").alias("n"))
+    """V1, V2: one select per rule over all record tables, all violations collected."""
+    found = annotation.violations(*(table(spark, sf_dir, name) for name in ("mention", "context", "relation", "identity_link", "decision", "draft")))
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT kind, fold, sha256('[\"' || kind || '\",\"' || fold || '\"]') AS job_id FROM (SELECT DISTINCT event_type AS kind FROM events), (SELECT r_name AS fold FROM region) WHERE kind <> 'error' OR fold <> 'ASIA'")

@@ -11,6 +11,7 @@ from loomspan.operators import annotation, features, linalg, stats
 from loomspan.plans.graphs import _GRAPH
 from loomspan.plans.registry import Catalog
 from loomspan.session import kept, table
+from loomspan.streaming.history import shared_folder
 
 catalog = Catalog()
 query = catalog.query
@@ -187,7 +188,7 @@ def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label permutation of the two halves' dissimilarities; random, so against numpy in the tests."""
+    """Label permutation of the two halves' dissimilarities; random, so against numpy in the tests."""
     return stats.permutation_p(_halves(spark, sf_dir), "panel", 999)
 
 
@@ -322,11 +323,52 @@ def ridge_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ridge_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Penalty chosen over folds by the closed-form loss; against direct fits in the tests."""
+    """Penalty chosen over folds by the closed-form loss; against direct fits in the tests."""
     e = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("panel"), (F.col("vec_id") % 5).alias("fold"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
     return linalg.ridge(e, "panel", "x", "y", [0.1, 1.0, 10.0, 100.0], "fold")
 
 
+#: Mixtures of two feature groups, and penalties.
+MIXTURES, PENALTIES = [[1.0, 1.0], [0.25, 4.0]], [1.0, 100.0]
+_ENCODED = (
+    "WITH g AS (SELECT l_returnflag AS f, l_orderkey % 4 AS fold, CAST(l_quantity AS DOUBLE) AS x, CAST(l_discount AS DOUBLE) * 100 AS z, l_extendedprice / 1000.0 AS y FROM lineitem), grid AS (SELECT * FROM (VALUES (0, 1.0, 1.0), (1, 0.25, 4.0)) m(mixture, wx, wz), (VALUES (1.0), (100.0)) a(alpha)), "
+    "s AS (SELECT a.f, k.fold, count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) * count(*) AS xx, var_pop(z) * count(*) AS zz, covar_pop(x, z) * count(*) AS xz, covar_pop(x, y) * count(*) AS xy, covar_pop(z, y) * count(*) AS zy FROM g a, (SELECT unnest([-1, 0, 1, 2, 3]) AS fold) k WHERE a.fold <> k.fold GROUP BY ALL), "
+    "c AS (SELECT s.*, mixture, alpha, wx * xx + alpha AS a, sqrt(wx * wz) * xz AS b, wz * zz + alpha AS d, sqrt(wx) * xy AS p, sqrt(wz) * zy AS q, wx, wz FROM s, grid), "
+    "w AS (SELECT f, fold, mixture, alpha, sqrt(wx) * (p * d - b * q) / (a * d - b * b) AS w1, sqrt(wz) * (a * q - b * p) / (a * d - b * b) AS w2, mx, mz, my FROM c), "
+    "l AS (SELECT g.f, mixture, alpha, avg((y - my - w1 * (x - mx) - w2 * (z - mz)) ** 2) AS loss FROM g JOIN w ON w.f = g.f AND w.fold = g.fold GROUP BY ALL)"
+)
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_returnflag").alias("f"), (F.col("l_orderkey") % 4).alias("fold"), F.array(F.col("l_quantity").cast("double")).alias("a"), F.array(F.col("l_discount").cast("double") * 100).alias("b"), (F.col("l_extendedprice") / 1000).alias("y"))
+
+
+@query(_ENCODED + " SELECT w.f, w.mixture, CAST(w.alpha AS DOUBLE) AS alpha, round(l.loss, 4) AS loss, round(w1, 6) AS first, round(w2, 6) AS second, round(my - w1 * mx - w2 * mz, 4) AS intercept FROM w JOIN l ON l.f = w.f AND l.mixture = w.mixture AND l.alpha = w.alpha WHERE w.fold = -1")
+def group_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two groups of features in two mixtures with two penalties: weights, and losses over folds in closed form."""
+    grid = linalg.encoding_grid(linalg.fold_sums(_encoded(spark, sf_dir), "f", "fold", ["a", "b"], "y"), MIXTURES, PENALTIES)
+    w = F.col("weights")
+    return grid.select(F.col("by").alias("f"), "mixture", "alpha", F.round("loss", 4).alias("loss"), F.round(w[0], 6).alias("first"), F.round(w[1], 6).alias("second"), F.round("intercept", 4).alias("intercept"))
+
+
+@query(
+    _ENCODED
+    + """, best AS (SELECT f, arg_min(mixture, struct_pack(l := loss, m := mixture, a := alpha)) AS mixture, arg_min(alpha, struct_pack(l := loss, m := mixture, a := alpha)) AS alpha FROM l GROUP BY f)
+SELECT g.f, count(*) AS n, round(avg((y - my - w1 * (x - mx) - w2 * (z - mz)) ** 2), 4) AS mse, round(corr(y, my + w1 * (x - mx) + w2 * (z - mz)), 6) AS r FROM g JOIN best ON best.f = g.f JOIN w ON w.f = g.f AND w.fold = g.fold AND w.mixture = best.mixture AND w.alpha = best.alpha GROUP BY g.f"""
+)
+def held_out_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of every row by the fit without its fold, after the fits were saved and loaded."""
+    rows = kept(_encoded(spark, sf_dir))
+    sums = linalg.fold_sums(rows, "f", "fold", ["a", "b"], "y")
+    chosen = linalg.selected_encoding(linalg.encoding_grid(sums, MIXTURES, PENALTIES))
+    root = shared_folder(spark, "fits")
+    linalg.save_fit(root, {"held_out": linalg.held_out_fits(sums, chosen, MIXTURES), "selected": chosen}, {"penalties": PENALTIES, "mixtures": MIXTURES})
+    out = linalg.predicted(rows, linalg.load_fit(spark, root, "held_out"), {"f": "by", "fold": "fold"}, ["a", "b"])
+    error = F.col("y") - F.col("predicted")
+    return out.groupBy("f").agg(F.count("*").alias("n"), F.round(F.avg(error * error), 4).alias("mse"), F.round(F.corr("y", "predicted"), 6).alias("r"))
+
+
 @query("WITH n AS (SELECT o_custkey AS story, count(*) AS n FROM orders GROUP BY 1) SELECT story, round(sqrt((SELECT sum(n) FROM n) / ((SELECT count(*) FROM n) * n)), 6) AS scale FROM n")
 def validation_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row scale that gives every story the same weight."""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from loomspan.operators import annotation, planning
+from loomspan.operators import annotation, planning, relate
 from loomspan.operators.graph import closure
 from loomspan.plans.graphs import _GRAPH
 from loomspan.plans.registry import Catalog
@@ -107,12 +108,22 @@ def evidence_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(hull, "unit_id", "left").select("id", low.alias("hull_start"), high.alias("hull_end"), ((low < F.col("s")) | (high > F.col("e"))).alias("widened"))
 
 
-@query("WITH a AS (SELECT DISTINCT story_id, segment, len(response_raw_indices) AS n, len(tr_centers_story_seconds) AS m, len(list_distinct(response_raw_indices)) AS u FROM alignment), v AS (SELECT 'length' AS rule, story_id FROM a WHERE n <> m UNION ALL SELECT 'repeated_row', story_id FROM a WHERE u <> n UNION ALL SELECT 'short', story_id FROM a WHERE n < 48) SELECT rule, count(*) AS n FROM v GROUP BY rule")
+@query(
+    """WITH a AS (SELECT story_id, segment, response_raw_indices AS r, tr_centers_story_seconds AS c FROM alignment), v AS (SELECT 'length' AS rule FROM a WHERE len(r) <> len(c) UNION ALL SELECT 'repeated_row' FROM a WHERE len(list_distinct(r)) <> len(r) UNION ALL SELECT 'short' FROM a WHERE len(r) < 48
+UNION ALL SELECT 'unknown_centre' FROM a WHERE len(list_filter(c, lambda x: x IS NULL OR isnan(x))) > 0 UNION ALL SELECT 'out_of_order' FROM a WHERE list_sort(r) <> r UNION ALL SELECT 'missing_row' FROM a WHERE list_max(r) - list_min(r) + 1 <> len(list_distinct(r)) UNION ALL SELECT 'delivered_again' FROM (SELECT story_id, segment FROM a GROUP BY ALL HAVING count(*) > 1)) SELECT rule, count(*) AS n FROM v GROUP BY rule"""
+)
 def release_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9: what of the scan tables breaks the contract, by rule."""
-    a = table(spark, sf_dir, "alignment").select("story_id", "segment", F.size("response_raw_indices").alias("n"), F.size("tr_centers_story_seconds").alias("m"), F.size(F.array_distinct("response_raw_indices")).alias("u")).distinct()
-    rules = F.filter(F.array(F.when(F.col("n") != F.col("m"), "length"), F.when(F.col("u") != F.col("n"), "repeated_row"), F.when(F.col("n") < 48, "short")), lambda r: r.isNotNull())
-    return a.select(F.explode(rules).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    a = table(spark, sf_dir, "alignment").select("story_id", "segment", F.col("response_raw_indices").alias("r"), F.col("tr_centers_story_seconds").alias("c"))
+    distinct = F.array_distinct("r")
+    found = F.array(
+        F.when(F.size("r") != F.size("c"), "length"), F.when(F.size(distinct) != F.size("r"), "repeated_row"), F.when(F.size("r") < 48, "short"),
+        F.when(F.exists("c", lambda x: x.isNull() | F.isnan(x)), "unknown_centre"), F.when(F.array_sort("r") != F.col("r"), "out_of_order"),
+        F.when(F.array_max("r") - F.array_min("r") + 1 != F.size(distinct), "missing_row"),
+    )
+    each = a.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("rule"))
+    again = a.groupBy("story_id", "segment").count().where("count > 1").select(F.lit("delivered_again").alias("rule"))
+    return each.unionAll(again).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("WITH i AS (SELECT DISTINCT draft_id AS id, md5(coalesce(graph, '')) AS h, status FROM draft), f AS (SELECT h, min(id) AS first FROM i WHERE status = 'rejected' GROUP BY h) SELECT id, first AS reused FROM i LEFT JOIN f USING (h)")
@@ -136,4 +147,59 @@ def linear_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "label", F.col("predicted").cast("int").alias("predicted"))
 
 
+@query(_GRAPH + "SELECT DISTINCT ev.id AS event, c.kind FROM (SELECT id, unnest(contexts) AS c FROM ev WHERE polarity = 'negative') ev JOIN context c ON c.id = ev.c WHERE c.kind IN ('hypothetical', 'desired', 'questioned')")
+def negative_modal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negative events that stand in a modal context too, where either may be redundant."""
+    view = annotation.graph_view(spark, sf_dir)
+    denied = view.events.where("polarity = 'negative'").select(F.col("id").alias("event"), F.explode("contexts").alias("context"))
+    modal = view.contexts.where("kind IN ('hypothetical', 'desired', 'questioned')").select(F.col("id").alias("context"), "kind")
+    return denied.join(modal, "context").select("event", "kind").distinct()
+
+
+@query(
+    "WITH c AS (SELECT user_id % 40 AS subject, CAST(ts AS DATE) AS day, event_type, round(avg(value), 4) AS v FROM events GROUP BY ALL) SELECT a.subject, strftime(a.day, '%Y-%m-%d') AS day, a.v, b.v AS comparator FROM c a LEFT JOIN c b ON b.subject = a.subject AND b.day = a.day AND b.event_type = 'click' WHERE a.event_type = 'view'"
+)
+def comparator_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each observation with the one of the other family under the same keys, of which there may be at most one."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("subject"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "value")
+    cells = e.groupBy("subject", "day", "event_type").agg(F.round(F.avg("value"), 4).alias("v"))
+    side = lambda name: cells.where(F.col("event_type") == name).drop("event_type")
+    return relate.comparator(side("view"), ["subject", "day"], side("click"), "v")
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT decision_id, unit_id, revision, status FROM decision), h AS (SELECT *, md5(concat_ws('|', unit_id, revision, decision_id, status)) AS digest FROM d), p AS (SELECT *, lag(digest) OVER (PARTITION BY unit_id ORDER BY revision, decision_id) AS before FROM h)
+SELECT decision_id, unit_id FROM p WHERE (CASE WHEN md5('x' || decision_id) < '08' THEN md5(coalesce(before, '')) ELSE before END) IS DISTINCT FROM before"""
+)
+def broken_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions whose stored parent digest is not that of the decision before; about one in thirty is made to hold another."""
+    d = table(spark, sf_dir, "decision").select("decision_id", "unit_id", "revision", "status").distinct()
+    digest = F.md5(F.concat_ws("|", "unit_id", F.col("revision").cast("string"), F.col("decision_id").cast("string"), "status"))
+    before = F.lag("digest").over(Window.partitionBy("unit_id").orderBy("revision", "decision_id"))
+    stored = d.withColumn("digest", digest).withColumn("parent", before)
+    spoilt = stored.withColumn("parent", F.when(F.md5(F.concat(F.lit("x"), F.col("decision_id").cast("string"))) < "08", F.md5(F.coalesce("parent", F.lit("")))).otherwise(F.col("parent")))
+    return relate.broken_links(spoilt, "unit_id", ["revision", "decision_id"], "digest", "parent").select("decision_id", "unit_id")
+
+
+@query(_GRAPH + ", e AS (SELECT DISTINCT id, predicate FROM ev) SELECT DISTINCT r.id, r.type, a.predicate AS source_predicate, b.predicate AS target_predicate FROM relation r LEFT JOIN e a ON a.id = r.source LEFT JOIN e b ON b.id = r.target")
+def relation_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations with the predicates of both events that they link."""
+    view = annotation.graph_view(spark, sf_dir)
+    named = lambda end: view.events.select(F.col("id").alias(end), F.col("predicate").alias(f"{end}_predicate")).distinct()
+    ends = view.relations.select("id", "type", "source", "target").distinct().join(named("source"), "source", "left").join(named("target"), "target", "left")
+    return ends.select("id", "type", "source_predicate", "target_predicate").distinct()
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT ON (decision_id) decision_id, operations FROM decision ORDER BY decision_id, ingested_utc), o AS (SELECT decision_id, i, operations[i] AS x FROM (SELECT *, unnest(range(1, len(operations) + 1)) AS i FROM d)), n AS (SELECT DISTINCT id, md5(id) AS new FROM relation)
+SELECT decision_id, string_agg(coalesce(n.new, x.id, '-'), ',' ORDER BY i) AS ids FROM o LEFT JOIN n ON n.id = x.id GROUP BY decision_id"""
+)
+def renamed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operations of every decision with the ids of relations renamed, in their order."""
+    d = table(spark, sf_dir, "decision").groupBy("decision_id").agg(F.min_by("operations", "ingested_utc").alias("operations"))
+    names = table(spark, sf_dir, "relation").select(F.col("id").alias("old"), F.md5("id").alias("new")).distinct()
+    made = relate.renamed(d, "decision_id", "operations", "id", names).where(F.size("operations") > 0)
+    return made.select("decision_id", F.array_join(F.transform("operations", lambda x: F.coalesce(x["id"], F.lit("-"))), ",").alias("ids"))
+
+
 QUERIES, ORACLE = catalog.queries, catalog.oracle

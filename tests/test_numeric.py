@@ -1,4 +1,6 @@
 import difflib
+import hashlib
+import json
 
 import numpy as np
 import pandas as pd
@@ -186,3 +188,103 @@ def test_bins_reach_the_last_event(spark, data, tmp_path):
     mask = found["known_mask"].set_index(["event_type", "t"])["known"]
     assert not mask[late["event_type"].iloc[0], last] and mask[late["event_type"].iloc[0], last - 3]
     assert (found["support_exclusions"]["rows"] == last + 1).all() and found["support_exclusions"]["excluded_trimmed"].max() <= 20
+
+
+def test_primal_equals_dual(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(60, 5)), rng.normal(size=(60, 9))
+    y = a @ rng.normal(size=5) + b[:, 0] + rng.normal(size=60)
+    rows = [("g", i % 4, a[i].tolist(), b[i].tolist(), float(y[i])) for i in range(60)] + [("g", 1, None, b[0].tolist(), 1.0)]
+    df = spark.createDataFrame(rows, "by string, fold int, a array<double>, b array<double>, y double").repartition(7)
+    mixtures, alphas = [[1.0, 1.0], [0.1, 3.0], [0.0, 1.0]], [0.5, 20.0]
+    sums = linalg.fold_sums(df, "by", "fold", ["a", "b"], "y")
+    grid = {(r["mixture"], r["alpha"]): r for r in linalg.encoding_grid(sums, mixtures, alphas).collect()}
+    fold = np.arange(60) % 4
+
+    def dual(mixture, alpha, train, test):
+        x = np.c_[a * mixture[0] ** 0.5, b * mixture[1] ** 0.5]
+        centre = x[train].mean(0)
+        inner = (x[train] - centre) @ (x[train] - centre).T
+        return y[train].mean() + (x[test] - centre) @ (x[train] - centre).T @ np.linalg.solve(inner + alpha * np.eye(train.sum()), y[train] - y[train].mean())
+
+    for k, mixture in enumerate(mixtures):
+        for alpha in alphas:
+            r = grid[k, alpha]
+            whole = np.ones(60, bool)
+            assert np.allclose(r["intercept"] + np.c_[a, b] @ r["weights"], dual(mixture, alpha, whole, whole))
+            assert np.isclose(r["loss"], np.mean(np.concatenate([(y[fold == f] - dual(mixture, alpha, fold != f, fold == f)) ** 2 for f in range(4)])))
+    chosen = linalg.selected_encoding(linalg.encoding_grid(sums, mixtures, alphas))
+    best = chosen.first()
+    assert best["loss"] == min(r["loss"] for r in grid.values())
+    fits = linalg.held_out_fits(sums, chosen, mixtures)
+    got = {r["y"]: r["predicted"] for r in linalg.predicted(df.dropna(), fits, {"by": "by", "fold": "fold"}, ["a", "b"]).collect()}
+    for f in range(4):
+        assert np.allclose([got[v] for v in y[fold == f]], dual(mixtures[best["mixture"]], best["alpha"], fold != f, fold == f))
+    assert linalg.encoding_grid(linalg.fold_sums(df.limit(0), "by", "fold", ["a", "b"], "y"), mixtures, alphas).count() == 0
+
+
+def test_nested_scopes(spark, data):
+    from loomspan.plans import questions as plans
+
+    got = {r["context"]: r["digest"] for r in plans.QUERIES["scope_digests"](spark, data).collect()}
+    view = annotation.graph_view(spark, data)
+    concept, predicate = {}, {}
+    for r in view.entities.collect():
+        concept[r["id"]] = min(filter(None, (concept.get(r["id"]), r["concept"])), default=None)
+    for r in view.events.collect():
+        predicate[r["id"]] = min(filter(None, (predicate.get(r["id"]), r["predicate"])), default=None)
+    nodes = {r["id"]: r for r in view.contexts.collect()}
+
+    def digest(i, above=()):
+        if i in above:
+            return None
+        r = nodes[i]
+        own = {k: v for k, v in (("kind", r["kind"]), ("holder", concept.get(r["holder"])), ("attribution", predicate.get(r["attribution"]))) if v is not None}
+        inner = {digest(p, (*above, i)) for p in r["parents"] or [] if p in nodes}
+        return None if None in inner else hashlib.sha256(json.dumps([json.dumps(own, separators=(",", ":"), ensure_ascii=False), sorted(inner)], ensure_ascii=False).encode()).hexdigest()
+
+    assert got == {i: digest(i) for i in nodes}
+
+
+def test_best_matches(spark, data):
+    names = pd.read_parquet(f"{data}/known_name.parquet")
+    given, family = ({n.lower() for n in names[names.role == role].name.dropna()} for role in ("given", "family"))
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, last = [i], row
+            for j, d in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+        return row[-1]
+
+    want = {}
+    for g in given:
+        ranked = sorted((-round(1 - distance(g, f) / max(len(g), len(f), 1), 6), f) for f in family)
+        want[g] = (ranked[0][1], -ranked[0][0])
+    got = {r["given"]: (r["family"], r["score"]) for r in text_plans.QUERIES["best_match_margin"](spark, data).collect()}
+    assert got == want
+
+
+def test_quantiles_and_multisets(spark):
+    rng = np.random.default_rng(4)
+    x = {"a": rng.normal(size=101), "b": np.array([3.0]), "c": np.repeat(2.0, 10)}
+    df = spark.createDataFrame([(k, float(v)) for k, values in x.items() for v in values] + [("a", None), ("a", float("nan")), (None, 1.0)], "k string, v double").repartition(5)
+    got = {r["k"]: (r["lo"], r["mid"], r["hi"]) for r in stats.quantiles(df, "k", "v", {"lo": 0.1, "mid": 0.5, "hi": 1.0}).collect()}
+    assert all(np.allclose(got[k], np.quantile(values, [0.1, 0.5, 1.0])) for k, values in x.items()) and len(got) == 3
+    rows = spark.createDataFrame([("x", None), ("x", None), ("y", 1)], "a string, b int")
+    assert tuple(relate.multiset_difference(rows, rows.distinct()).first()) == (1, 0)
+    assert tuple(relate.multiset_difference(rows.limit(0), rows).first()) == (0, 3)
+
+
+def test_chains_comparators_and_names(spark):
+    chain = spark.createDataFrame([("u", 1, "a", None), ("u", 2, "b", "a"), ("u", 3, "c", "x"), ("v", 1, "d", "a")], "u string, n int, h string, p string")
+    assert {(r["u"], r["n"], r["expected"]) for r in relate.broken_links(chain, "u", ["n"], "h", "p").collect()} == {("u", 3, "b"), ("v", 1, None)}
+    left = spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, v double")
+    assert {tuple(r) for r in relate.comparator(left, ["k"], left.where("k = 1"), "v").collect()} == {(1, 2.0, 2.0), (2, 3.0, None)}
+    with pytest.raises(Exception, match="more than one comparator"):
+        relate.comparator(left, ["k"], left.union(left), "v").collect()
+    ledger = spark.createDataFrame([(1, [("b", 1), ("a", 2), (None, 3)]), (2, []), (3, None)], "k int, ops array<struct<id:string,n:int>>")
+    names = spark.createDataFrame([("a", "A")], "old string, new string")
+    got = {r["k"]: r["ops"] for r in relate.renamed(ledger, "k", "ops", "id", names).collect()}
+    assert [tuple(x) for x in got[1]] == [("b", 1), ("A", 2), (None, 3)] and got[2] == [] and got[3] is None
