@@ -51,6 +51,15 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_report(p5_assigned(spark, sf_dir), table(spark, sf_dir, "source_record"), table(spark, sf_dir, "split_target"), "id", "decoder_timing_eligible")
 
 
+def p5_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records assigned, groups of tied stories, and groups that are torn apart (none may be)."""
+    ties = kept(_ties(spark, sf_dir))
+    records = table(spark, sf_dir, "source_record")
+    assigned = splits.assign_splits(records, ties, table(spark, sf_dir, "split_target"), "id", "story_id", "decoder_timing_eligible")
+    per = assigned.join(ties.select(F.col("record").alias("story_id"), "label"), "story_id").groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("split").alias("k"))
+    return per.agg(F.sum("n").alias("records"), F.count("*").alias("tied"), F.count_if(F.col("k") > 1).alias("torn"))
+
+
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "source_record").where("raw_feature_bin >= 0").select(F.col("id").alias("source_id"), F.col("story_id").alias("entity"), F.col("available_at_seconds").alias("at"))
     scans = table(spark, sf_dir, "alignment").select(F.col("story_id").alias("entity"), F.explode(F.arrays_zip(F.col("tr_centers_story_seconds").alias("at"), F.col("response_raw_indices").alias("target"))).alias("z"))
@@ -96,6 +105,17 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(_mix(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
+def p9_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with documents and a target, whether each reaches its share of their targets to within its longest document or a hundredth, and keeps its cap."""
+    counted = kept(tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    targets = table(spark, sf_dir, "mix_target")
+    longest = counted.where("tokens > 0").groupBy("source").agg(F.max("tokens").alias("_most"))
+    report = kept(mixing.share_report(kept(mixing.mixed(counted, targets)), targets).where("target_share > 0 AND max_repeats > 0").join(longest, "source"))
+    whole = report.agg(F.sum("target_share").alias("_t"), F.sum("tokens").alias("_n"))
+    near = F.abs(F.coalesce("actual_share", F.lit(0.0)) - F.col("target_share") / F.col("_t")) <= F.greatest(F.lit(0.01), F.col("_most") / F.col("_n"))
+    return report.crossJoin(whole).select("source", near.alias("reached"), (F.col("most_repeats") <= F.col("max_repeats")).alias("capped"))
+
+
 def _name_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.name_terms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_name"))
 
@@ -122,7 +142,7 @@ def p10_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_forms, p5_found, p5_groups, p5_assigned, p5_report, p6_found, p6_gaps, p8_ids, p8_spans, p8_round_trip, p9_mix, p9_shares, p10_found, p10_redacted, p10_sanitised, p10_terms)
+    for f in (p1_found, p1_forms, p5_found, p5_groups, p5_assigned, p5_together, p5_report, p6_found, p6_gaps, p8_ids, p8_spans, p8_round_trip, p9_mix, p9_shares, p9_close, p10_found, p10_redacted, p10_sanitised, p10_terms)
 }
 
 
@@ -134,6 +154,9 @@ p AS (SELECT source_id, raw, abs(c - t) AS gap, row_number() OVER (PARTITION BY
 ORACLE = {
     "p5_found": _TIES + " SELECT DISTINCT a AS story_a, b AS story_b FROM c WHERE a < b",
     "p5_groups": _TIES + ", w AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM c UNION ALL SELECT DISTINCT story_id, story_id FROM source_record WHERE story_id IS NOT NULL)) SELECT a AS story_id, min(b) AS least_story, count(*) AS n_tied FROM w GROUP BY a",
+    "p5_together": _TIES + ", r AS (SELECT id, min(story_id) AS story_id FROM source_record GROUP BY id HAVING min(story_id) IS NOT NULL), w AS (SELECT a, b FROM c UNION SELECT DISTINCT story_id, story_id FROM r), g AS (SELECT a AS story_id, min(b) AS label FROM w GROUP BY a) SELECT count(*) AS records, count(DISTINCT label) AS tied, 0 AS torn FROM r JOIN g USING (story_id)",
+    "p8_round_trip": "SELECT source, count(*) AS documents, count(*) AS exact FROM documents GROUP BY source",
+    "p9_close": "SELECT DISTINCT source, true AS reached, true AS capped FROM mix_target JOIN documents USING (source) WHERE target_share > 0 AND max_repeats > 0 AND length(text) > 0",
     "p6_found": _SCANS + " SELECT source_id, raw AS raw_row FROM p WHERE k = 1 AND gap <= 0.9",
     "p6_gaps": _SCANS + " SELECT source_id, raw AS raw_row, round(gap, 6) AS gap FROM p WHERE k = 1 AND gap <= 0.9",
 }
