@@ -57,6 +57,13 @@ def p4_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, sf_dir).select("draft_id", "unit_id", "kind", "pre", "post", "level", "id", "parent_pre", "owner_id", "path").distinct()
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of every draft with the arguments that lie in them by interval containment, and uncertainties with their alternatives at any depth."""
+    nodes = kept(_nodes(spark, sf_dir).distinct())
+    each = [nested.nodes_within(nodes, "draft_id", outer, inner).select("draft_id", F.lit(inner).alias("inner_kind"), "outer_id", "path") for outer, inner in (("event", "argument"), ("uncertainty", "alternative"))]
+    return each[0].unionByName(each[1]).groupBy("draft_id", "inner_kind", "outer_id").agg(F.countDistinct("path").alias("n"))
+
+
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.expr(r"try_cast(regexp_extract(unit_id, '_u([0-9]+)$', 1) as bigint)")
     return hierarchy.links(table(spark, sf_dir, "context"), "id", "parents", "story_id", unit)
@@ -118,10 +125,11 @@ ORACLE = {
     "p3_found": _REFS + "SELECT * FROM o",
     "p3_report": _REFS + "SELECT ref_table, period, reason, count(*) AS n_references, count(DISTINCT record_id) AS n_records FROM o GROUP BY ALL",
     "p4_found": _NODES,
+    "p4_links": "WITH x AS (" + _NODES + ") SELECT draft_id, kind AS inner_kind, parent_id AS outer_id, count(*) AS n FROM x WHERE kind IN ('argument', 'alternative') GROUP BY ALL",
     "p7_found": _TREE + "SELECT id, node AS root, CAST(min(depth) AS INTEGER) AS depth FROM walk WHERE node NOT IN (SELECT id FROM e) GROUP BY ALL UNION ALL SELECT id, 'cycle', -1 FROM bad",
     "p7_descendants": _TREE + "SELECT id, node AS descendant, CAST(min(depth) AS INTEGER) AS distance FROM walkb GROUP BY ALL UNION ALL SELECT id, NULL, -1 FROM badb",
     "p7_sizes": _TREE + ", d AS (SELECT id, node, min(depth) AS depth FROM walkb GROUP BY ALL) SELECT id, count(*) - 1 AS n_descendants, CAST(max(depth) AS INTEGER) AS height FROM d GROUP BY id UNION ALL SELECT id, NULL, NULL FROM badb",
     "p7_paths": _TREE + ", t AS (SELECT id, id AS path, 0 AS depth FROM ok WHERE id NOT IN (SELECT id FROM e) UNION ALL SELECT e.id, t.path || '/' || e.id, t.depth + 1 FROM t JOIN e ON e.p = t.id JOIN ok ON ok.id = e.id) SELECT id, path, depth FROM t",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_state, p2_merged, p3_found, p3_report, p4_found, p4_nodes, p7_found, p7_paths, p7_descendants, p7_sizes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_state, p2_merged, p3_found, p3_report, p4_found, p4_nodes, p4_links, p7_found, p7_paths, p7_descendants, p7_sizes)}

@@ -30,7 +30,7 @@ b AS (SELECT u.unit_id, u.event, (SELECT min(polarity) FROM ev x WHERE x.id = u.
 pairs AS (SELECT *, unnest(range(i + 1, len(b) + 1)) AS j FROM (SELECT *, unnest(range(1, len(b))) AS i FROM b)),
 req AS (SELECT unit_id, event, b AS requested, unnest(['positive', 'negative']) AS polarity, 'polarity_contrast' AS variant FROM b UNION ALL SELECT unit_id, event, list_transform(b, lambda x, n: struct_pack(role := x.role, target := CASE WHEN n = i THEN b[j].target WHEN n = j THEN b[i].target ELSE x.target END)), lo, 'role_swap' FROM pairs WHERE b[i].role <> b[j].role AND b[i].target <> b[j].target AND lo IS NOT NULL),
 act AS (SELECT event, list(struct_pack(role := role, target := target)) AS a FROM ok GROUP BY 1),
-q_binding AS (SELECT r.unit_id, 'binding_verification', r.variant, r.event || CAST(r.requested AS VARCHAR) || r.polarity, ['supported', 'contradicted'], CASE WHEN lo <> 'unresolved' AND len(list_filter(requested, lambda x: NOT list_contains(a, x))) = 0 THEN [CASE WHEN r.polarity = lo THEN 'supported' ELSE 'contradicted' END] END FROM req r LEFT JOIN act USING (event) LEFT JOIN (SELECT event, lo FROM pol) USING (event)),
+q_binding AS (SELECT r.unit_id, 'binding_verification', r.variant, r.event || CAST(r.requested AS VARCHAR) || r.polarity, ['supported', 'contradicted'], CASE WHEN a IS NOT NULL AND lo <> 'unresolved' AND len(list_filter(requested, lambda x: NOT list_contains(a, x))) = 0 THEN [CASE WHEN r.polarity = lo THEN 'supported' ELSE 'contradicted' END] END FROM req r LEFT JOIN act USING (event) LEFT JOIN (SELECT event, lo FROM pol) USING (event)),
 rr AS (SELECT DISTINCT id, unit_id, type, source, target, list_sort(contexts) AS contexts FROM relation WHERE coalesce(support <> 'unresolved', true)), rt AS (SELECT source, target, contexts, list(DISTINCT type) FILTER (WHERE type IS NOT NULL) AS labels FROM rr GROUP BY ALL),
 q_relation AS (SELECT DISTINCT rr.unit_id, 'event_relation', '', rr.source || '/' || rr.target || '/' || CAST(rr.contexts AS VARCHAR), (SELECT items FROM rels), rt.labels FROM rr JOIN rt ON rt.source = rr.source AND rt.target = rr.target AND rt.contexts = rr.contexts WHERE rr.source IS NOT NULL AND rr.target IS NOT NULL AND rr.contexts IS NOT NULL),
 il AS (SELECT DISTINCT unit_id, least("left", "right") AS a, greatest("left", "right") AS b, relation FROM identity_link WHERE "left" IS NOT NULL AND "right" IS NOT NULL AND coalesce(support <> 'unresolved', true)), ir AS (SELECT a, b, CASE WHEN count(DISTINCT relation) = 1 THEN [min(relation)] END AS labels FROM il GROUP BY ALL),
