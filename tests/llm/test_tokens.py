@@ -39,3 +39,11 @@ def test_names_and_empty(spark):
     assert [r["tokens"] for r in tokens.count_tokens(df).collect()] == [1]
     assert [r["text"] for r in tokens.decode(tokens.encode(df.withColumn("y", df["text"]), "y")).collect()] == ["x"]
     assert tokens.encode(df.limit(0)).count() == 0
+
+
+def test_counts_of_both_libraries_agree(spark, monkeypatch):
+    texts = [*TEXTS, "<|endoftext|> x", " " * 3_000_000 + "x", "a" * 300_000, "　\n\t  é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r["doc_id"]: r["tokens"] for r in tokens.count_tokens(df).collect()} == {r["doc_id"]: len(r["ids"]) for r in tokens.encode(df).collect()}
+    other = tokens.count_tokens(df.limit(3), tokenizer="word_bpe_49k")
+    assert {r["doc_id"]: r["tokens"] for r in other.collect()} == {r["doc_id"]: len(r["ids"]) for r in tokens.encode(df.limit(3), tokenizer="word_bpe_49k").collect()}
