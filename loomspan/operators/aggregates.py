@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.session import kept
+
 
 def count_map(df: DataFrame, key: str, value: str) -> DataFrame:
     """Counts by value as one map per key, in the order of the values."""
@@ -18,8 +20,8 @@ def vocabulary(df: DataFrame, feature: str, unit: str, least: int) -> DataFrame:
 
     The number comes from counts per range of the sorted features, so no task sees all of them.
     """
-    kept = df.groupBy(feature).agg(F.countDistinct(unit).alias("df")).where(F.col("df") >= least)
-    return numbered(kept, [feature], "column")
+    frequent = df.groupBy(feature).agg(F.countDistinct(unit).alias("df")).where(F.col("df") >= least)
+    return numbered(frequent, [feature], "column")
 
 
 def numbered(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
@@ -29,7 +31,7 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 0) -> Data
     partitions' sizes, one row each, are all that is broadcast.
     """
     ordered = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    ordered = ordered.persist()
+    ordered = kept(ordered)
     sizes = ordered.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     before = sizes.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     return ordered.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") - F.col("_first") + F.col("_before") + F.lit(start)).drop("_p", "_i", "_first", "_before")
@@ -65,9 +67,9 @@ def macro_mean(df: DataFrame, value: str, item: str, source: str, story: str, we
 def dedupe_first(df: DataFrame, keys: list[str], order: list[Column | str], collect: str) -> DataFrame:
     """First row per key in an order, with ``<collect>_all``: the sorted distinct values that the key has."""
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    kept = df.withColumn("_k", first).where("_k = 1").drop("_k")
+    one = df.withColumn("_k", first).where("_k = 1").drop("_k")
     seen = df.groupBy(*keys).agg(F.array_sort(F.collect_set(collect)).alias(f"{collect}_all"))
-    return kept.join(seen, keys)
+    return one.join(seen, keys)
 
 
 def story_means(df: DataFrame, item: str, story: str, vector: str, least: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.operators import hierarchy
 from loomspan.operators.skew import hot_hashes, skew_join
 from loomspan.session import checkpointed, kept
 
@@ -100,15 +101,15 @@ def traverse(start: DataFrame, steps: list[DataFrame]) -> DataFrame:
 
 
 def waves(jobs: DataFrame, dependencies: DataFrame, job: str, needs: str) -> DataFrame:
-    """Wave in which each job can run, the first after all that it needs: ``job, wave``; null for jobs in or behind a cycle."""
-    known = jobs.select(F.col(job).alias("job")).distinct()
-    links = kept(dependencies.select(F.col(job).alias("job"), F.col(needs).alias("need")).distinct().join(known.select(F.col("job").alias("need")), "need", "left_semi"))
-    done = checkpointed(known.join(links.select("job").distinct(), "job", "left_anti").withColumn("wave", F.lit(0)))
-    wave = 0
-    while True:
-        wave += 1
-        waiting = links.join(done.select(F.col("job").alias("need")), "need", "left_anti").select("job").distinct()
-        ready = checkpointed(known.join(done.select("job"), "job", "left_anti").join(waiting, "job", "left_anti").withColumn("wave", F.lit(wave)))
-        if ready.isEmpty():
-            return known.join(done, "job", "left")
-        done = checkpointed(done.unionByName(ready))
+    """Wave in which each job can run, the first after all that it needs: ``job, wave``; null for jobs in or behind a cycle.
+
+    A wave is the longest chain of needs, so it is the depth of a hierarchy, whose groups are worked through whole; rounds follow the borders between groups, not the waves. Needs that are no jobs
+    are ignored.
+    """
+    kind = jobs.schema[job].dataType
+    known = jobs.where(F.col(job).isNotNull()).select(F.col(job).cast("string").alias("job")).distinct()
+    needed = dependencies.where(F.col(job).isNotNull() & F.col(needs).isNotNull()).select(F.col(job).cast("string").alias("job"), F.col(needs).cast("string").alias("need")).distinct()
+    held = needed.groupBy("job").agg(F.collect_list("need").alias("parents"))
+    rows = known.join(held, "job", "left").withColumn("scope", F.lit(""))
+    depth = hierarchy.longest_depths(hierarchy.links(rows, "job", "parents", "scope"))
+    return depth.select(F.col("id").cast(kind).alias("job"), F.col("depth").alias("wave"))

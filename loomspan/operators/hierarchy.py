@@ -137,6 +137,8 @@ def sweep(names: list[str], node: np.ndarray, source: np.ndarray, blocked: np.nd
         top = peel(n, node[inner], source[inner])
         rank = np.where(leaf >= 0, n + leaf.max(initial=0) - leaf, np.where(top >= 0, top, -1))
     labels, codes = list(names), {name: i for i, name in enumerate(names)}
+    if mode == "longest":
+        labels, codes = [""], {"": 0}
     given_node = np.asarray(given[0], np.int64)
     given_label = np.empty(len(given_node), np.int64)
     for i, text in enumerate(given[1]):
@@ -180,6 +182,10 @@ def sweep(names: list[str], node: np.ndarray, source: np.ndarray, blocked: np.nd
             first = len(labels)
             labels.extend(hashlib.sha256(json.dumps([own_text[i], sorted(above[i])], ensure_ascii=False).encode()).hexdigest() for i in above)
             to, label, steps = ready, np.arange(first, len(labels)), np.zeros(len(ready), np.int64)
+        if mode == "longest":
+            far = np.zeros(n, np.int64)
+            np.maximum.at(far, to, steps)
+            to, label, steps = ready, np.zeros(len(ready), np.int64), far[ready]
         own = ready if mode in ("peeled", "above") else np.setdiff1d(ready, to)
         to, label, steps = np.r_[to, own], np.r_[label, own], np.r_[steps, np.zeros(len(own), np.int64)]
         place = np.lexsort((steps, label, to))
@@ -250,7 +256,7 @@ def spread_values(nodes: DataFrame, mode: str) -> DataFrame:
 
     ``nodes``: ``id, scope, chunk, froms``, where ``froms`` names the nodes that a node takes values from, none unknown. Modes:
     ``roots`` (label a root, steps the fewest links to it), ``paths`` (label a path from a root), ``above`` (label the node
-    itself or one above it), ``peeled`` (label the node itself), ``digest`` (label the digest of the node's text in ``own`` and of its sources' digests, as a set).
+    itself or one above it), ``peeled`` (label the node itself), ``longest`` (no label, steps the most links from a root), ``digest`` (label the digest of the node's text in ``own`` and of its sources' digests, as a set).
 
     Every round works through each local group as far as it comes, whole hierarchies at a time, and hands values over
     group borders to the next round; rounds follow border crossings, not depth. The first that finishes nothing leaves
@@ -275,7 +281,7 @@ def spread_values(nodes: DataFrame, mode: str) -> DataFrame:
         sources = open_nodes.select("id", F.explode("froms").alias("source"))
         handed = (
             skew_join(sources, now.select(F.col("id").alias("source"), "label", "steps"), ["source"])
-            .groupBy("id", "label").agg((F.min("steps") + 1).alias("steps"))
+            .groupBy("id", "label").agg(((F.max("steps") if mode == "longest" else F.min("steps")) + 1).alias("steps"))
             .groupBy("id").agg(F.collect_list(F.struct("label", "steps")).alias("new"))
         )
         pending = skew_join(sources, rest.select(F.col("id").alias("source")), ["source"], "left_semi").groupBy("id").agg(F.collect_list("source").alias("pending"))
@@ -334,6 +340,12 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     return found.select("id", F.col("label").alias("ancestor"), F.coalesce("steps", F.lit(-1)).alias("distance"))
 
 
+def longest_depths(nodes: DataFrame) -> DataFrame:
+    """The most links from a root down to every node: ``id, depth``; null on or below a loop."""
+    found = spread_values(nodes.withColumnRenamed("parents", "froms"), "longest")
+    return found.select("id", F.col("steps").alias("depth"))
+
+
 def nested_digests(nodes: DataFrame, own: DataFrame, text: str) -> DataFrame:
     """Digest of every node with all that is above it, nested: ``id, digest``; null on or below a loop.
 
