@@ -112,6 +112,16 @@ def _unit_number() -> Column:
     return F.expr(r"try_cast(regexp_extract(unit_id, '_u([0-9]+)$', 1) as bigint)")
 
 
+def scope_bindings(view: GraphView) -> DataFrame:
+    """Contexts of every event: ``event, context, kind, holder_concept, attribution_predicate, resolved``; a context that is not there gives no row."""
+    each = view.events.select(F.col("id").alias("event"), F.explode("contexts").alias("context")).distinct()
+    c = view.contexts.select(F.col("id").alias("context"), "kind", "holder", "attribution", resolved().alias("resolved")).distinct()
+    concept = view.entities.groupBy(F.col("id").alias("holder")).agg(F.min("concept").alias("holder_concept"))
+    predicate = view.events.groupBy(F.col("id").alias("attribution")).agg(F.min("predicate").alias("attribution_predicate"))
+    joined = each.join(c, "context").join(concept, "holder", "left").join(predicate, "attribution", "left")
+    return joined.select("event", "context", "kind", "holder_concept", "attribution_predicate", "resolved").distinct()
+
+
 def scope_profiles(view: GraphView) -> DataFrame:
     """Digest of every context with all that it stands in: ``context, digest``; null on a loop.
 

@@ -68,6 +68,29 @@ def explode_leaves(df: DataFrame, column: str, drop: str = "id") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _steps(decisions: DataFrame) -> DataFrame:
+    """Operations of all decisions one by one, with ``at``, their place in the log: revision, decision, place in its array."""
+    steps = (
+        decisions.select(
+            "unit_id",
+            F.col("revision").cast("int").alias("revision"),
+            F.col("decision_id").cast("long").alias("decision_id"),
+            F.posexplode("operations").alias("pos", "change"),
+        )
+        .select(
+            "unit_id", "revision", "decision_id", "pos",
+            F.col("change.id").alias("record_id"),
+            F.col("change.op").alias("op"),
+            F.col("change.field").alias("field"),
+            F.col("change.value").alias("value"),
+            F.col("change.before").alias("before"),
+        )
+        .where(F.col("record_id").isNotNull() & F.col("op").isin("add", "set", "remove"))
+    )
+    order = F.struct(F.coalesce("revision", F.lit(-(2**31))).alias("r"), F.coalesce("decision_id", F.lit(-(2**63))).alias("d"), "pos")
+    return steps.withColumn("at", order)
+
+
 def apply_changes(decisions: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """State after the last change, one row per field of each record that is left.
 
@@ -86,24 +109,7 @@ def apply_changes(decisions: DataFrame, base: DataFrame | None = None) -> DataFr
     equal revisions of one unit go by ``decision_id``. An empty feed gives the base, without one an empty state; base rows with a null record or field are ignored,
     repeated ones count once; a record without any field leaves no row, so a base does not hold it.
     """
-    steps = (
-        decisions.select(
-            "unit_id",
-            F.col("revision").cast("int").alias("revision"),
-            F.col("decision_id").cast("long").alias("decision_id"),
-            F.posexplode("operations").alias("pos", "change"),
-        )
-        .select(
-            "unit_id", "revision", "decision_id", "pos",
-            F.col("change.id").alias("record_id"),
-            F.col("change.op").alias("op"),
-            F.col("change.field").alias("field"),
-            F.col("change.value").alias("value"),
-        )
-        .where(F.col("record_id").isNotNull() & F.col("op").isin("add", "set", "remove"))
-    )
-    order = F.struct(F.coalesce("revision", F.lit(-(2**31))).alias("r"), F.coalesce("decision_id", F.lit(-(2**63))).alias("d"), "pos")
-    steps = steps.withColumn("at", order)
+    steps = _steps(decisions)
     record = ["unit_id", "record_id"]
 
     # A repeated decision gives equal places in the log, of which the rank keeps one: dedupe and latest-per-key in one pass.
@@ -134,3 +140,30 @@ def apply_changes(decisions: DataFrame, base: DataFrame | None = None) -> DataFr
 def _latest(df: DataFrame, keys: list[str], at: str | Column = "at") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(at).desc()))
     return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+
+
+def checked_changes(decisions: DataFrame) -> DataFrame:
+    """Whether what a ``set`` states to have been there before was there: ``unit_id, record_id, field, revision, decision_id, pos, verdict``.
+
+    ``no_record`` if the record was not there, ``unstated`` without a ``before``, else ``holds`` or ``differs``. Values come from the fields of every ``add`` and
+    from earlier ``set`` that took effect; a record that begins anew has none of before. Each operation meets only those of its record and field, in one sorted pass each. Repeated
+    deliveries count once; ``decisions`` as ``apply_changes`` takes them.
+    """
+    record = ["unit_id", "record_id"]
+    steps = _steps(decisions).dropDuplicates([*record, "at"])
+    earlier = Window.partitionBy(*record).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    life = F.last(F.when(F.col("op") != "set", F.struct("op", "at")), ignorenulls=True).over(earlier)
+    lived = steps.withColumn("_life", life)
+    sets = lived.where((F.col("op") == "set") & F.col("field").isNotNull())
+    there = F.coalesce(F.col("_life.op") == "add", F.lit(False))
+    leaves = explode_leaves(steps.where(F.col("op") == "add").select(*record, "at", "value"), "value")
+    columns = [*record, "field", "at", "value", "before", "born", "revision", "decision_id", "pos"]
+    took = sets.where(there).withColumn("born", F.col("_life.at")).select(columns)
+    for name in ("before", "born", "revision", "decision_id", "pos"):
+        leaves = leaves.withColumn(name, F.lit(None).cast(took.schema[name].dataType))
+    order = Window.partitionBy(*record, "field").orderBy("at")
+    placed = leaves.select(columns).unionByName(took).withColumn("_last", F.lag(F.struct("at", "value")).over(order)).where(F.col("born").isNotNull())
+    prior = F.when(F.col("_last.at") >= F.col("born"), F.col("_last.value"))
+    verdict = F.when(F.col("before").isNull(), "unstated").when(F.col("before").eqNullSafe(prior), "holds").otherwise("differs")
+    out = [*record, "field", "revision", "decision_id", "pos"]
+    return placed.select(*out, verdict.alias("verdict")).unionByName(sets.where(~there).select(*out, F.lit("no_record").alias("verdict")))

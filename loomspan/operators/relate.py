@@ -146,3 +146,10 @@ def renamed(df: DataFrame, key: str, column: str, field: str, names: DataFrame)
     changed = met.withColumn("_x", F.col("_x").withField(field, F.coalesce("_new", "_old")))
     back = changed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("_made"))
     return df.select(key, column).join(back, key, "left").select(key, F.coalesce("_made", column).alias(column))
+
+
+def strict_zip(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Add ``name``: two arrays place by place as structs of ``a`` and ``b``; arrays of different length raise, two nulls give null."""
+    same = F.size(a).eqNullSafe(F.size(b)) & (F.col(a).isNull() == F.col(b).isNull())
+    zipped = F.zip_with(F.col(a), F.col(b), lambda x, y: F.struct(x.alias(a), y.alias(b)))
+    return df.withColumn(name, F.when(same, zipped).otherwise(F.raise_error(F.lit(f"{a} and {b} differ in length")).cast(df.select(zipped.alias("z")).schema["z"].dataType)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspan.operators import annotation, planning, relate
+from loomspan.operators import annotation, changefeed, planning, relate
 from loomspan.operators.graph import closure
 from loomspan.plans.graphs import _GRAPH
 from loomspan.plans.registry import Catalog
@@ -202,4 +202,28 @@ def renamed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("decision_id", F.array_join(F.transform("operations", lambda x: F.coalesce(x["id"], F.lit("-"))), ",").alias("ids"))
 
 
+@query(
+    """WITH d AS (SELECT DISTINCT ON (decision_id) decision_id, unit_id, revision, operations FROM decision ORDER BY decision_id, ingested_utc), o AS (SELECT unit_id, revision, i, operations[i] AS x FROM (SELECT *, unnest(range(1, len(operations) + 1)) AS i FROM d)),
+s AS (SELECT unit_id, x.id AS record_id, x.op AS op, x.field AS field, x.value AS value, x.before AS before, revision * 1000 + i AS seq FROM o WHERE x.id IS NOT NULL AND x.op IN ('add', 'set', 'remove')),
+w AS (SELECT *, last_value(CASE WHEN op <> 'set' THEN op END IGNORE NULLS) OVER e AS life, last_value(CASE WHEN op <> 'set' THEN seq END IGNORE NULLS) OVER e AS born FROM s WINDOW e AS (PARTITION BY unit_id, record_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+leaf AS (SELECT unit_id, record_id, seq, substr(t.fullkey, 3) AS field, CASE WHEN t.type = 'VARCHAR' THEN t.atom->>'$' ELSE CAST(t.atom AS VARCHAR) END AS value FROM (SELECT *, CAST(value AS JSON) AS j FROM s WHERE op = 'add') a, json_tree(a.j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY') AND t.fullkey <> '$.id'),
+v AS (SELECT unit_id, record_id, field, seq, value, NULL AS before, NULL AS born FROM leaf UNION ALL SELECT unit_id, record_id, field, seq, value, before, born FROM w WHERE op = 'set' AND field IS NOT NULL AND life = 'add'),
+p AS (SELECT *, lag(value) OVER k AS prior, lag(seq) OVER k AS prior_seq FROM v WINDOW k AS (PARTITION BY unit_id, record_id, field ORDER BY seq)),
+r AS (SELECT CASE WHEN before IS NULL THEN 'unstated' WHEN before IS NOT DISTINCT FROM CASE WHEN prior_seq >= born THEN prior END THEN 'holds' ELSE 'differs' END AS verdict FROM p WHERE born IS NOT NULL UNION ALL SELECT 'no_record' FROM w WHERE op = 'set' AND field IS NOT NULL AND life IS DISTINCT FROM 'add') SELECT verdict, count(*) AS n FROM r GROUP BY 1"""
+)
+def before_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: whether changes of fields state rightly what was there before."""
+    return changefeed.checked_changes(table(spark, sf_dir, "decision")).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query(
+    _GRAPH
+    + """, x AS (SELECT DISTINCT id AS event, unnest(contexts) AS context FROM ev), c AS (SELECT DISTINCT id, kind, holder, attribution, coalesce(support <> 'unresolved', true) AS resolved FROM context), h AS (SELECT id, min(concept) AS holder_concept FROM en GROUP BY id), p AS (SELECT id, min(predicate) AS attribution_predicate FROM ev GROUP BY id)
+SELECT DISTINCT x.event, x.context, c.kind, h.holder_concept, p.attribution_predicate, c.resolved FROM x JOIN c ON c.id = x.context LEFT JOIN h ON h.id = c.holder LEFT JOIN p ON p.id = c.attribution"""
+)
+def scope_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the scopes of every event with whose they are and by what they are told."""
+    return annotation.scope_bindings(annotation.graph_view(spark, sf_dir))
+
+
 QUERIES, ORACLE = catalog.queries, catalog.oracle

@@ -265,12 +265,13 @@ def option_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select("r_name").crossJoin(table(spark, sf_dir, "events").select("event_type").distinct()).crossJoin(modes)
 
 
-@query("WITH z AS (SELECT DISTINCT story_id, segment, response_raw_indices AS a, tr_centers_story_seconds AS b FROM alignment) SELECT story_id, segment, len(a) = len(b) AS same_length, least(len(a), len(b)) AS n FROM z")
+@query("WITH z AS (SELECT DISTINCT story_id, segment, response_raw_indices AS a, tr_centers_story_seconds AS b FROM alignment) SELECT story_id, segment, len(a) AS n, round(list_sum(list_transform(list_zip(a, b), lambda z: CASE WHEN isfinite(z[2]) THEN z[1] * z[2] END)), 3) AS mixed FROM z")
 def strict_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two arrays place by place, with their lengths compared."""
-    a, b = F.size("response_raw_indices"), F.size("tr_centers_story_seconds")
-    z = table(spark, sf_dir, "alignment").select("story_id", "segment", (a == b).alias("same_length"), F.least(a, b).cast("long").alias("n"))
-    return z.distinct()
+    """Two arrays place by place, of which different lengths raise."""
+    z = table(spark, sf_dir, "alignment").select("story_id", "segment", F.col("response_raw_indices").alias("a"), F.col("tr_centers_story_seconds").alias("b")).distinct()
+    product = F.filter(F.transform("z", lambda x: F.when(~F.isnan(x["b"]), x["a"] * x["b"])), lambda x: x.isNotNull())
+    total = F.when(F.size(product) > 0, F.aggregate(product, F.lit(0.0), lambda s, x: s + x))
+    return relate.strict_zip(z, "a", "b", "z").select("story_id", "segment", F.size("z").cast("long").alias("n"), F.round(total, 3).alias("mixed"))
 
 
 @query(

@@ -1,6 +1,6 @@
 import json
 
-from loomspan.operators.changefeed import apply_changes, json_leaves
+from loomspan.operators.changefeed import apply_changes, checked_changes, json_leaves
 
 DECISION = "decision_id long, unit_id string, revision int, operations array<struct<op:string,collection:string,id:string,field:string,before:string,value:string,reason:string>>, at string, op string"
 
@@ -69,3 +69,18 @@ def test_leaves_of_deep_value():
     text = '{"a":' * 50_000 + "[" * 20_000 + "]" * 20_000 + "}" * 50_000
     assert json_leaves(text) == [(".".join("a" * 50_000), "[" * 20_000 + "]" * 20_000)]
     assert json_leaves("[1]") == json_leaves("x") == json_leaves(None) == json_leaves("") == []
+
+
+def test_stated_values_are_checked(spark):
+    def change(kind, field=None, value=None, before=None):
+        return (kind, None, "a", field, before, value if value is None or isinstance(value, str) else json.dumps(value), None)
+
+    rows = [
+        (1, "u", 1, [change("set", "x", "0", "y"), change("add", value={"x": "1", "n": {"q": "2"}}), change("set", "x", "3", "1"), change("set", "x", "4", "1"), change("set", "n.q", "5", "2"), change("set", "z", "6")]),
+        (1, "u", 1, [change("set", "x", "0", "y")]),
+        (2, "u", 2, [change("set", "x", "7", "4"), change("remove"), change("set", "x", "8", "7"), change("add", value={"w": "1"}), change("set", "x", "9", "7")]),
+    ]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in [rows[0], rows[0], rows[2]]], DECISION)
+    got = sorted((r["revision"], r["pos"], r["field"], r["verdict"]) for r in checked_changes(df).collect())
+    assert got == [(1, 0, "x", "no_record"), (1, 2, "x", "holds"), (1, 3, "x", "differs"), (1, 4, "n.q", "holds"), (1, 5, "z", "unstated"), (2, 0, "x", "holds"), (2, 2, "x", "no_record"), (2, 4, "x", "differs")]
+    assert checked_changes(df.limit(0)).collect() == []
