@@ -74,6 +74,16 @@ def measured_rows(events: DataFrame, identity: str, key: str, slot: str, delays:
     return met.groupBy(identity, key, slot).agg(F.transform(found, lambda s: s["_r"]).alias("rows"))
 
 
+def delayed_means(events: DataFrame, identity: str, key: str, slot: str, delays: list[int], values: DataFrame, value: str) -> DataFrame:
+    """Mean of the values at all delayed rows of every event: ``identity, value``; events of an unknown slot or with a row that is not there are left out.
+
+    ``values``: ``key, row, value``, one row each.
+    """
+    each = events.where(F.col(slot) >= 0).select(identity, key, F.explode(F.array(*map(F.lit, delays))).alias("_d"), slot).withColumn("row", F.col(slot) + F.col("_d"))
+    met = each.join(values.select(key, "row", value), [key, "row"])
+    return met.groupBy(identity, slot).agg(F.avg(value).alias(value), F.count("*").alias("_n")).where(F.col("_n") == len(delays)).select(identity, value)
+
+
 def coverage(windows: DataFrame, key: str, category: str, rows: str, retained: DataFrame, row: str) -> DataFrame:
     """Per category the windows that a mask keeps whole, in part or not: ``category, n, whole, part, gone``.
 

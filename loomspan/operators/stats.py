@@ -145,6 +145,17 @@ def softmax(df: DataFrame, by: list[str], logit: str) -> DataFrame:
     return shifted.withColumn("p", F.col("_e") / F.sum("_e").over(w)).drop("_e")
 
 
+def paired(first: DataFrame, second: DataFrame, keys: list[str], identity: str, value: str) -> DataFrame:
+    """Differences of means of two conditions by cell: ``keys..., difference, matched``; ``matched`` if both rest on the same rows.
+
+    Rows are compared by their number and the sum of digests of their ``identity``, so no list of them is made. Cells that only one side has are left out.
+    """
+    part = F.conv(F.substring(F.md5(F.col(identity).cast("string")), 1, 15), 16, 10).cast("decimal(38,0)")
+    cells = lambda df, name: df.groupBy(*keys).agg(F.avg(value).alias(f"_{name}"), F.struct(F.count("*").alias("n"), F.sum(part).alias("h")).alias(f"_{name}_rows"))
+    both = cells(first, "a").join(cells(second, "b"), keys)
+    return both.select(*keys, (F.col("_a") - F.col("_b")).alias("difference"), (F.col("_a_rows") == F.col("_b_rows")).alias("matched"))
+
+
 def query_prior(train: DataFrame, test: DataFrame, family: str, candidate: str, smoothing: float = 1.0) -> DataFrame:
     """Baseline answer per family: the training candidate with the greatest smoothed count, with its probability.
 
@@ -155,9 +166,12 @@ def query_prior(train: DataFrame, test: DataFrame, family: str, candidate: str,
     return test.select(family).distinct().join(total.select(family, "best", (F.col("m") / F.col("t")).alias("p")), family, "left")
 
 
-def site_replacement(scores: DataFrame, item: str, site: str, value: str, least: int = 1) -> DataFrame:
-    """Control: drop of each item's summed score when its strongest sites are replaced by the mean of the others: ``item, full, replaced, drop``."""
-    w = Window.partitionBy(item).orderBy(F.desc(value), site)
+def site_replacement(scores: DataFrame, item: str, site: str, value: str, least: int = 1, order: list[Column] | None = None) -> DataFrame:
+    """Drop of each item's summed score when its strongest sites are replaced by the mean of the others: ``item, full, replaced, drop``.
+
+    ``order`` takes others first, such as by a hash, for the control with as many random sites.
+    """
+    w = Window.partitionBy(item).orderBy(*(order or [F.desc(value), F.col(site)]))
     ranked = scores.withColumn("_k", F.row_number().over(w))
     return ranked.groupBy(item).agg(F.sum(value).alias("full"), F.sum(F.when(F.col("_k") > least, F.col(value))).alias("_rest"), F.avg(F.when(F.col("_k") > least, F.col(value))).alias("_mean")).select(
         item, "full", (F.coalesce("_rest", F.lit(0.0)) + least * F.coalesce("_mean", F.lit(0.0))).alias("replaced")

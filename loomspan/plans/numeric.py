@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.operators import aggregates as agg
-from loomspan.operators import annotation, features, linalg, stats
+from loomspan.operators import annotation, clock, features, linalg, stats
 from loomspan.plans.graphs import _GRAPH
 from loomspan.plans.registry import Catalog
 from loomspan.session import kept, table
@@ -253,6 +253,14 @@ def site_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.site_replacement(s, "item", "site", "v").select("item", *[F.round(c, 3).alias(c) for c in ("full", "replaced", "drop")])
 
 
+@query("WITH s AS (SELECT l_orderkey AS item, l_linenumber AS site, l_quantity AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY md5(l_orderkey || '/' || l_linenumber), l_linenumber, l_quantity DESC) AS k FROM lineitem), a AS (SELECT item, sum(v) AS full_, sum(v) FILTER (WHERE k > 1) AS rest, avg(v) FILTER (WHERE k > 1) AS mean FROM s GROUP BY item) SELECT item, round(full_, 3) AS \"full\", round(coalesce(rest, 0) + coalesce(mean, 0), 3) AS replaced, round(full_ - (coalesce(rest, 0) + coalesce(mean, 0)), 3) AS \"drop\" FROM a")
+def random_site_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The control of site_replacement: as many sites, but drawn by hash."""
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("site"), F.col("l_quantity").alias("v"))
+    drawn = F.md5(F.concat_ws("/", F.col("item").cast("string"), F.col("site").cast("string")))
+    return stats.site_replacement(s, "item", "site", "v", order=[drawn, F.col("site"), F.desc("v")]).select("item", *[F.round(c, 3).alias(c) for c in ("full", "replaced", "drop")])
+
+
 @query("SELECT event_type, round(quantile_cont(value, 0.025), 4) AS low, round(quantile_cont(value, 0.975), 4) AS high, round(median(value), 4) AS mid FROM events GROUP BY 1")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: exact linear quantiles."""
@@ -269,15 +277,13 @@ def partial_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT o_orderkey % 4 AS fold, o_orderpriority AS cond, avg(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT o_orderkey % 4 AS fold, o_orderpriority AS cond, avg(o_totalprice) AS v, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL)
-SELECT fold, cond, round(a.v - b.v, 3) AS difference, a.n = b.n AS matched FROM a JOIN b USING (fold, cond)"""
+    """WITH a AS (SELECT o_orderkey % 4 AS fold, o_orderpriority AS cond, avg(o_totalprice) AS v, count(*) AS n, sum(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT)) AS h FROM orders GROUP BY ALL), b AS (SELECT o_orderkey % 4 AS fold, o_orderpriority AS cond, avg(o_totalprice) AS v, count(*) AS n, sum(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT)) AS h FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL)
+SELECT fold, cond, round(a.v - b.v, 3) AS difference, a.n = b.n AND a.h = b.h AS matched FROM a JOIN b USING (fold, cond)"""
 )
 def paired_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired differences with a check of equal support."""
-    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 4).alias("fold"), F.col("o_orderpriority").alias("cond"), "o_totalprice", "o_orderstatus")
-    a = o.groupBy("fold", "cond").agg(F.avg("o_totalprice").alias("x"), F.count("*").alias("n"))
-    b = o.where("o_orderstatus <> 'P'").groupBy("fold", "cond").agg(F.avg("o_totalprice").alias("y"), F.count("*").alias("k"))
-    return a.join(b, ["fold", "cond"]).select("fold", "cond", F.round(F.col("x") - F.col("y"), 3).alias("difference"), (F.col("n") == F.col("k")).alias("matched"))
+    """Paired differences with a check that both sides rest on the same rows, by a digest of their keys."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("fold"), F.col("o_orderpriority").alias("cond"), "o_totalprice", "o_orderstatus")
+    return stats.paired(o, o.where("o_orderstatus <> 'P'"), ["fold", "cond"], "o_orderkey", "o_totalprice").withColumn("difference", F.round("difference", 3))
 
 
 # --- linear algebra ---------------------------------------------------------------------------------------------------
@@ -377,11 +383,17 @@ def validation_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.crossJoin(whole).select("story", F.round(F.sqrt(F.col("t") / (F.col("k") * F.col("n"))), 6).alias("scale"))
 
 
-@query("SELECT user_id, event_type, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS v, event_id FROM events")
+@query(
+    """WITH p AS (SELECT story_id, r AS "row", avg(c) AS x FROM (SELECT story_id, unnest(response_raw_indices) AS r, unnest(tr_centers_story_seconds) AS c FROM (SELECT DISTINCT story_id, segment, response_raw_indices, tr_centers_story_seconds FROM alignment)) WHERE isfinite(c) GROUP BY ALL), u AS (SELECT DISTINCT id, story_id, raw_feature_bin AS slot FROM source_record WHERE raw_feature_bin >= 0)
+SELECT u.id, round(avg(x), 7) AS v FROM u JOIN p ON p.story_id = u.story_id AND p."row" BETWEEN slot + 1 AND slot + 4 GROUP BY u.id HAVING count(*) = 4"""
+)
 def implied_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of predictions over a delayed window."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-3, 0)
-    return table(spark, sf_dir, "events").select("user_id", "event_type", F.round(F.avg("value").over(w), 4).alias("v"), "event_id")
+    """Mean of the predictions at the delayed rows of every unit, where all of them are there."""
+    z = F.explode(F.arrays_zip(F.col("response_raw_indices").alias("row"), F.col("tr_centers_story_seconds").alias("x"))).alias("z")
+    a = table(spark, sf_dir, "alignment").select("story_id", "segment", "response_raw_indices", "tr_centers_story_seconds").distinct()
+    predicted = a.select("story_id", z).select("story_id", "z.row", "z.x").where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf"))).groupBy("story_id", "row").agg(F.avg("x").alias("x"))
+    units = table(spark, sf_dir, "source_record").select("id", "story_id", F.col("raw_feature_bin").alias("slot")).distinct()
+    return clock.delayed_means(units, "id", "story_id", "slot", [1, 2, 3, 4], predicted, "x").select("id", F.round("x", 7).alias("v"))
 
 
 @query("WITH t AS (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY ALL), s AS (SELECT *, sum(v) OVER (PARTITION BY event_type) AS total, count(*) OVER (PARTITION BY event_type) AS n FROM t) SELECT event_type, user_id, round(v - (total - v) / (n - 1), 4) AS against_others FROM s")

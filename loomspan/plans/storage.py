@@ -86,6 +86,16 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("story_id", "verdict").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH u AS (SELECT DISTINCT story_id, unit_index, CAST(available_at_token AS DOUBLE) AS x FROM source_record WHERE available_at_token IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY unit_index) - 1 AS r FROM u)
+SELECT a.story_id, a.unit_index, CAST(d AS INTEGER) AS delay, coalesce(b.x, 0.0) AS x FROM p a, (SELECT unnest([0, 1, 3]) AS d) LEFT JOIN p b ON b.story_id = a.story_id AND b.unit_index = a.unit_index - d WHERE a.r = a.unit_index"""
+)
+def stream_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delayed values of every story's units as a stream, up to the first gap."""
+    units = history.stream(spark, sf_dir, "source_record").where("available_at_token IS NOT NULL")
+    return history.run_to_table(history.delayed(units, "story_id", "unit_index", "available_at_token", [0, 1, 3]), "append", "delays")
+
+
 @query("SELECT strftime(to_timestamp(floor(epoch(ts) / 3600) * 3600) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS start, event_type, round(sum(value), 4) AS x, count(*) AS n FROM events GROUP BY ALL")
 def stream_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: events in tumbling windows, as a stream with a watermark."""

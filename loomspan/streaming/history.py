@@ -53,6 +53,36 @@ def gap_blocked(units: DataFrame, key: str, index: str) -> DataFrame:
     return units.select(key, index).groupBy(key).applyInPandasWithState(run, f"{key} string, {index} int", "following int, waiting array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
+def delayed(rows: DataFrame, key: str, index: str, value: str, delays: list[int]) -> DataFrame:
+    """Delayed copies of a value as a stream: ``key, index, delay, x``, for every index of a key in order from 0 on; 0 before the first.
+
+    A stateful operator: the state of a key is its next index, the values that the greatest delay still needs, and those that wait behind a gap. Repeated indices count once, the first that comes.
+    """
+    if not delays or len(set(delays)) != len(delays) or min(delays) < 0:
+        raise ValueError("delays must be different and not negative")
+    reach = max(delays)
+
+    def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        following, recent, places, held = state.get if state.exists else (0, [], [], [])
+        waiting, recent = dict(zip(places, held, strict=True)), list(recent)
+        for frame in frames:
+            for i, x in zip(frame[index], frame[value], strict=True):
+                if pd.notna(i) and i >= following:
+                    waiting.setdefault(int(i), float(x))
+        out = []
+        while following in waiting:
+            recent.append(waiting.pop(following))
+            out += [(keys[0], following, d, recent[-1 - d] if d < len(recent) else 0.0) for d in delays]
+            recent = recent[-reach - 1 :]
+            following += 1
+        state.update((following, recent, list(waiting.keys()), list(waiting.values())))
+        yield pd.DataFrame(out, columns=[key, index, "delay", "x"]).astype({index: "int32", "delay": "int32", "x": "float64"})
+
+    schema = f"{key} string, {index} int, delay int, x double"
+    kept = rows.select(key, index, F.col(value).cast("double").alias(value))
+    return kept.groupBy(key).applyInPandasWithState(run, schema, "following int, recent array<double>, places array<int>, held array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def append_validated(records: DataFrame, key: str, index: str, identity: str) -> DataFrame:
     """Append records to each key's history and tell of every one whether it is new: ``key, index, id, verdict``.
 

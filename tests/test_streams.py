@@ -17,3 +17,9 @@ def test_verdicts(spark, tmp_path):
     stream = written(spark, tmp_path, [[("s", 0, "a")], [("s", 1, "a"), ("s", 0, "a"), ("s", 1, "b")]], "story string, i int, id string")
     got = history.run_to_table(history.append_validated(stream, "story", "i", "id"), "append", "t")
     assert sorted((r["i"], r["id"], r["verdict"]) for r in got.collect()) == [(0, "a", "appended"), (0, "a", "repeated"), (1, "a", "conflict"), (1, "b", "appended")]
+
+
+def test_delayed_values(spark, tmp_path):
+    stream = written(spark, tmp_path, [[("s", 0, 1.0), ("s", 2, 3.0), ("t", 1, 9.0)], [("s", 1, 2.0), ("s", 0, 7.0)], [("s", 3, 4.0), ("s", None, 5.0)]], "story string, i int, x double")
+    got = history.run_to_table(history.delayed(stream, "story", "i", "x", [0, 2]), "append", "t")
+    assert sorted((r["i"], r["delay"], r["x"]) for r in got.collect()) == [(0, 0, 1.0), (0, 2, 0.0), (1, 0, 2.0), (1, 2, 0.0), (2, 0, 3.0), (2, 2, 1.0), (3, 0, 4.0), (3, 2, 2.0)]
