@@ -10,22 +10,42 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Folder of the public vocabularies.
+#: Folder of the public vocabularies, on the driver; executors get the files with the job.
 FOLDER = "/opt/tokenizers"
 DEFAULT = "byte_bpe_50k"
 #: Code points encoded in one call, which bounds what the library holds at once; one longer text is a call of its own.
 CALL_CHARS = 500_000
 
 
+def _sent(spark: SparkSession, path: str) -> str:
+    """Send a vocabulary (and its ranks, where they are there) along with the job, so that executors need not have the folder."""
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        for each in (path, _ranks_of(path)):
+            if os.path.exists(each):
+                context.addFile(each)
+    return path
+
+
+def _ranks_of(path: str) -> str:
+    return path.removesuffix(".json") + ".tiktoken"
+
+
+def _here(path: str) -> str:
+    """Where a worker finds a vocabulary: in its folder, or among the files that came with the job."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a worker; Spark runs the workers side by side
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
+    found = Tokenizer.from_file(_here(path))
     found.encode_special_tokens = True
     return found
 
@@ -36,7 +56,7 @@ def byte_table(path: str) -> tuple[bytes | None, ...]:
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in set(printable)]
     of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-    with open(path, encoding="utf-8") as f:
+    with open(_here(path), encoding="utf-8") as f:
         spec = json.load(f)
     vocab = dict(spec["model"]["vocab"])
     table: list[bytes | None] = [None] * (1 + max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens", []))]))
@@ -75,7 +95,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", spans: bool = Fa
     added = [ids, *(["starts", "ends"] if spans else [])]
     df = df.drop(*added)
     rest = [f for f in df.schema.fields if f.name != text]
-    path = f"{folder}/{tokenizer}.json"
+    path = _sent(df.sparkSession, f"{folder}/{tokenizer}.json")
     schema = T.StructType(rest + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +133,7 @@ def _ranked(path: str):
 
 def _sizes(texts: list[str], path: str) -> list[int]:
     """Numbers of tokens. Where the vocabulary is there as ranks too, the library for these counts, which gives the same tokens for less; a text that it cannot take is counted by the other."""
-    ranks = path.removesuffix(".json") + ".tiktoken"
+    ranks = _here(_ranks_of(path))
     if not os.path.exists(ranks):
         return [len(e) for call in _calls(texts) for e in _tokenizer(path).encode_batch_fast(call, add_special_tokens=False)]
     encode, sizes = _ranked(ranks).encode_ordinary, []
@@ -131,7 +151,7 @@ def count_tokens(df: DataFrame, text: str = "text", tokens: str = "tokens", toke
     """Replace the ``text`` column by its number of tokens (0 for null and empty); only the number leaves Python."""
     df = df.drop(tokens)
     rest = [f for f in df.schema.fields if f.name != text]
-    path = f"{folder}/{tokenizer}.json"
+    path = _sent(df.sparkSession, f"{folder}/{tokenizer}.json")
     schema = T.StructType([*rest, T.StructField(tokens, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +171,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "text", tokenizer: str =
     """
     df = df.drop(text)
     rest = [f for f in df.schema.fields if f.name != ids]
-    path = f"{folder}/{tokenizer}.json"
+    path = _sent(df.sparkSession, f"{folder}/{tokenizer}.json")
     schema = T.StructType([*rest, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
