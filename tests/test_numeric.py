@@ -288,3 +288,31 @@ def test_chains_comparators_and_names(spark):
     names = spark.createDataFrame([("a", "A")], "old string, new string")
     got = {r["k"]: r["ops"] for r in relate.renamed(ledger, "k", "ops", "id", names).collect()}
     assert [tuple(x) for x in got[1]] == [("b", 1), ("A", 2), (None, 3)] and got[2] == [] and got[3] is None
+
+
+def test_arrays_that_do_not_fit(spark):
+    df = spark.createDataFrame([(1, [1, 2], [3.0, 4.0]), (2, [], []), (3, None, None)], "k int, a array<int>, b array<double>")
+    got = {r["k"]: r["z"] for r in relate.strict_zip(df, "a", "b", "z").collect()}
+    assert [tuple(x) for x in got[1]] == [(1, 3.0), (2, 4.0)] and got[2] == [] and got[3] is None
+    with pytest.raises(Exception, match="differ in length"):
+        relate.strict_zip(df.limit(0).union(spark.createDataFrame([(4, [1], [1.0, 2.0])], df.schema)), "a", "b", "z").collect()
+
+
+def test_questions_of_empty_and_odd_graphs(spark, data, tmp_path):
+    from loomspan.operators import questions
+
+    for name in ("draft", "mention", "relation", "identity_link", "context"):
+        spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    asked, left_out = questions.generate(annotation.graph_view(spark, str(tmp_path)))
+    assert asked.collect() == [] == left_out.collect()
+    view = annotation.graph_view(spark, data)
+    asked, _ = questions.generate(view)
+    rows = asked.collect()
+    assert {r["family"] for r in rows} == set(questions.FAMILIES) and len({r["query_id"] for r in rows}) == len(rows)
+    assert all(len(set(r["acceptable"])) == len(r["acceptable"]) < r["n_candidates"] and all(0 <= k < r["n_candidates"] for k in r["acceptable"]) for r in rows)
+    assert all((r["label_state"] == "needs_adjudication") == (not r["acceptable"]) for r in rows)
+    again = {(r["query_id"], tuple(r["acceptable"])) for r in questions.generate(view, seed=0)[0].collect()}
+    other = {(r["query_id"], tuple(r["acceptable"])) for r in questions.generate(view, seed=1)[0].collect()}
+    assert again == {(r["query_id"], tuple(r["acceptable"])) for r in rows} and other != again and {q for q, _ in other} == {q for q, _ in again}
+    spans = annotation.answer(spark, view, {"a": {"op": "compose", "event": rows[0]["query_id"], "steps": [{"op": "scope_parent"}, {"op": "role", "role": "theme"}]}})
+    assert [tuple(r) for r in spans.collect()] == [("a", None)]
