@@ -32,7 +32,7 @@ def emit(view: GraphView) -> DataFrame:
     concept = view.entities.where("concept IS NOT NULL").select(F.col("id").alias("target"), "concept").distinct()
     row = lambda df, group, parts, ok=F.lit(True): df.select(*place, F.lit(group).alias("group"), F.array(*[F.coalesce(F.col(p), F.lit("")) for p in parts]).alias("parts"), ok.alias("included"))
     mention = view.mentions.join(concept, "target")
-    bound = view.arguments.join(concept, "target").join(view.events.select(F.col("id").alias("event"), "predicate").distinct(), "event")
+    bound = kept(view.arguments.join(concept, "target").join(view.events.select(F.col("id").alias("event"), "predicate").distinct(), "event"))
     ok = resolved()
     named = bound.withColumnRenamed("support", "_bound").join(view.mentions.select(F.col("id").alias("mention"), "form", F.col("support").alias("_named")).distinct(), "mention")
     sure = resolved("_bound") & resolved("_named")
