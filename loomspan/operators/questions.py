@@ -113,8 +113,8 @@ def generate(view: GraphView, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     answered = checkpointed(reduce(DataFrame.unionByName, [df.select("query_id", "labels") for df in answers]))
     listed = checkpointed(candidates(view, scopes.join(events, "event"), seed))
     sizes = listed.groupBy("catalog").agg(F.count("*").alias("n_candidates"))
-    whole = asked.join(answered, "query_id").join(sizes, "catalog", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
-    places = whole.select("query_id", "catalog", F.explode("labels").alias("item")).join(listed, ["catalog", "item"]).groupBy("query_id").agg(F.array_sort(F.collect_list("place")).alias("acceptable"))
+    whole = skew_join(asked.join(answered, "query_id"), sizes, ["catalog"], "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+    places = skew_join(whole.select("query_id", "catalog", F.explode("labels").alias("item")), listed, ["catalog", "item"]).groupBy("query_id").agg(F.array_sort(F.collect_list("place")).alias("acceptable"))
     judged = whole.join(places, "query_id", "left").withColumn("acceptable", F.coalesce("acceptable", F.array().cast("array<int>")))
     reason = (
         F.when(F.col("n_candidates") < 2, "no_alternative_candidates")
