@@ -19,6 +19,9 @@ WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 #: An event marker in a transcript, such as {BR}.
 MARKER = r"\{[^{}]*\}"
 
+#: Most phrases that are broadcast; more are joined by their first token, with equal results.
+MOST_PHRASES = 1_000
+
 # Spoken contractions and what they stand for.
 EXPANSIONS = {
     "gonna": "going to", "wanna": "want to", "gotta": "got to", "kinda": "kind of", "sorta": "sort of", "outta": "out of",
@@ -85,21 +88,51 @@ def expanded(w: DataFrame, key: str) -> DataFrame:
     return w.select(key, "idx", F.posexplode(parts).alias("part", "token"))
 
 
-def phrase_positions(w: DataFrame, key: str, phrases: DataFrame, phrase_key: str) -> DataFrame:
+def phrase_positions(w: DataFrame, key: str, phrases: DataFrame, phrase_key: str, most_sent: int = MOST_PHRASES) -> DataFrame:
     """All places of phrases of any number of words: ``phrase_key, key, start_token``.
 
-    ``phrases``: ``phrase_key, tokens`` (lower case). Words meet phrases on their first token; only at those places the other tokens
-    are asked for, each as a row that meets the word at its place, and a place counts if all are met. So no text is searched once per
-    phrase, and what is shuffled follows the places that begin like a phrase. Null and empty phrases and null tokens are not found.
+    ``phrases``: ``phrase_key, tokens`` (lower case). As ``text_phrases``, over words that are cut already; a place has all its words at following ``idx``.
+    """
+    placed = F.collect_list(F.struct("idx", F.lower("word").alias("token")))
+    return _phrase_places(w.groupBy(key).agg(F.array_sort(placed).alias("_words")), key, phrases, phrase_key, most_sent)
+
+
+def text_phrases(df: DataFrame, key: str, phrases: DataFrame, phrase_key: str, text: str = "text", most_sent: int = MOST_PHRASES) -> DataFrame:
+    """All places of phrases in texts, as ``phrase_positions`` gives them for ``words``: ``phrase_key, key, start_token``.
+
+    Each text meets the phrases where it lies, so neither texts nor words are shuffled. Null and empty phrases and null tokens are not found, null texts have no
+    places; texts with the same key are searched one by one.
+    """
+    cut = F.regexp_extract_all(masked(text), F.lit(WORD), F.lit(0))
+    return _phrase_places(df.select(key, F.transform(cut, lambda x, i: F.struct(i.alias("idx"), F.lower(x).alias("token"))).alias("_words")), key, phrases, phrase_key, most_sent)
+
+
+def _phrase_places(texts: DataFrame, key: str, phrases: DataFrame, phrase_key: str, most_sent: int) -> DataFrame:
+    """Places of phrases; ``texts``: ``key, _words`` with the words (``idx, token``) in order.
+
+    Only where a text has the first token of a phrase, that word and those that follow become a row, as many as the longest phrase with this token may need;
+    it meets the phrases of its first token. Up to ``most_sent`` phrases are broadcast; more of them are joined by first token, and then every word becomes a row.
     """
-    plain = w.select(key, "idx", F.lower("word").alias("_token"))
     asked = phrases.where((F.size("tokens") > 0) & ~F.exists("tokens", lambda t: t.isNull())).select(phrase_key, "tokens", F.col("tokens")[0].alias("_token"))
-    begun = plain.join(asked, "_token").select(phrase_key, key, F.col("idx").alias("start_token"), "tokens")
-    single = begun.where(F.size("tokens") == 1).select(phrase_key, key, "start_token")
-    rest = begun.where(F.size("tokens") > 1).select(phrase_key, key, "start_token", (F.size("tokens") - 1).alias("_left"), F.posexplode(F.slice("tokens", F.lit(2), F.size("tokens") - 1)).alias("_i", "_token"))
-    rest = rest.withColumn("idx", F.col("start_token") + F.col("_i") + 1).drop("_i")
-    met = rest.join(plain, [key, "idx", "_token"]).groupBy(phrase_key, key, "start_token", "_left").count().where(F.col("count") == F.col("_left"))
-    return single.unionByName(met.select(phrase_key, key, "start_token"))
+    heads = asked.select("_token", F.size("tokens").alias("n")).limit(most_sent + 1).collect()
+    if len(heads) > most_sent:
+        longest = asked.agg(F.max(F.size("tokens"))).first()[0]
+        reach = lambda token: F.lit(longest)
+    else:
+        asked = F.broadcast(asked)
+        most: dict[str, int] = {}
+        for r in heads:
+            most[r["_token"]] = max(most.get(r["_token"], 0), r["n"])
+        # Lengths up to the next power of two, so that there are few of them.
+        alike: dict[int, list[str]] = {}
+        for token, n in most.items():
+            alike.setdefault(1 << (n - 1).bit_length(), []).append(token)
+        reach = lambda token: F.coalesce(F.lit(None).cast("int"), *[F.when(token.isin(own), F.lit(n)) for n, own in alike.items()])
+    begun = F.filter(F.transform("_words", lambda x, i: F.struct(x.idx.alias("idx"), F.slice("_words", i + 1, reach(x.token)).alias("next"))), lambda b: b.next.isNotNull())
+    each = texts.select(key, F.explode(begun).alias("_b")).select(key, F.col("_b.idx").alias("start_token"), F.col("_b.next").alias("_next"), F.col("_b.next")[0].token.alias("_token"))
+    held = F.slice("_next", F.lit(1), F.size("tokens"))
+    unbroken = F.element_at(held, -1).idx == F.col("start_token") + F.size("tokens") - 1
+    return each.join(asked, "_token").where((F.transform(held, lambda x: x.token) == F.col("tokens")) & unbroken).select(phrase_key, key, "start_token")
 
 
 def attested(w: DataFrame, key: str, labels: DataFrame) -> DataFrame:

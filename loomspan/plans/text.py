@@ -93,7 +93,7 @@ SELECT phrase_id, doc_id, idx AS start_token FROM r JOIN p ON phrase = list_aggr
 def phrase_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of a phrase of several words."""
     asked = spark.createDataFrame([(k, v.split()) for k, v in PHRASES.items()], "phrase_id int, tokens array<string>")
-    return text.phrase_positions(document_words(spark, sf_dir), "doc_id", asked, "phrase_id")
+    return text.text_phrases(table(spark, sf_dir, "documents"), "doc_id", asked, "phrase_id")
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '\{[^{}]*\}', '', 'g') AS plain, CAST(len(regexp_extract_all(text, '\{[^{}]*\}')) AS INTEGER) AS n_markers FROM documents WHERE contains(text, '{')")

@@ -129,6 +129,35 @@ def test_long_phrases(spark):
     assert {tuple(r) for r in got.collect()} == {("long", 1, 1), ("twice", 3, 0), ("twice", 3, 1), ("one", 1, 41)}
 
 
+@pytest.mark.parametrize("most_sent", [text.MOST_PHRASES, 2])
+def test_phrases_meet_texts_where_they_lie(spark, most_sent):
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(rng.choice(["the", "Phone", "rang", "{BR}", "a.", "don’t"], rng.integers(0, 60)))) for k in range(80)] + [(80, None), (81, ""), (None, "the phone rang")]
+    docs = spark.createDataFrame(rows, "k int, text string")
+    asked = {1: ["the", "phone", "rang"], 2: ["the"], 3: ["a", "a"], 4: ["don’t", "the", "a", "phone", "a"], 5: ["the", "phone"], 6: [], 7: None, 8: ["the", None], 9: ["phone"] * 70}
+    want = set()
+    for k, value in rows:
+        own = [w.lower().rstrip(".") for w in (value or "").split() if w != "{BR}"]
+        want |= {(p, k, i) for p, tokens in asked.items() if tokens and None not in tokens for i in range(len(own)) if own[i : i + len(tokens)] == tokens}
+    phrases = spark.createDataFrame(list(asked.items()), "p int, tokens array<string>")
+    found = text.text_phrases(docs, "k", phrases, "p", most_sent=most_sent)
+    places = [tuple(r) for r in found.collect()]
+    assert len(places) == len(set(places)) and set(places) == want
+    cut = text.words(docs, "k")
+    assert sorted(map(str, map(tuple, text.phrase_positions(cut, "k", phrases, "p", most_sent).collect()))) == sorted(map(str, places))
+    gaps = {(p, k, i) for p, k, i in want if k is not None and all((i + j) % 3 for j in range(len(asked[p])))}
+    assert {tuple(r) for r in text.phrase_positions(cut.where("k IS NOT NULL AND idx % 3 > 0"), "k", phrases, "p", most_sent).collect()} == gaps
+    assert text.text_phrases(docs, "k", phrases.limit(0), "p").collect() == []
+
+
+def test_phrases_shuffle_no_words(spark, data, tmp_path):
+    from loomspan.plans.text import QUERIES
+
+    found = QUERIES["phrase_positions"](spark, data)
+    found.write.parquet(str(tmp_path / "found"))
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_query_language(spark, data):
     for bad in ({"op": "no"}, {"op": "role", "event": "e"}, {"op": "role", "event": "e", "role": "r", "x": 1}, {"op": "compose", "event": "e", "steps": [{"op": "role"}]}):
         with pytest.raises(ValueError):
