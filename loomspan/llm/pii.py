@@ -66,6 +66,7 @@ _GAP = r"[ \t   ]"
 _LETTER = r"[^\W\d_][\u0300-\u036f]*"
 _WORD = re.compile(rf"(?:{_LETTER})+")
 _ASCII_WORD = re.compile("[A-Za-z]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 # A word of the running text, not of an address or a file name.
 _TERM = re.compile(rf"(?<![\w@.+/-])(?:{_LETTER}){{2,}}(?![\w@+]|[./]\w)|(?<=\w-)(?:{_LETTER}){{2,}}(?![\w@+-]|[./]\w)")
 _PAIR = re.compile(rf"(?![a-z])(?<![\w@.+'’-])((?:{_LETTER}){{2,}})(?=({_GAP}(?:[^\W\d_]\.{_GAP}){{0,2}}(?:{PARTICLE}{_GAP})?)((?:{_LETTER}){{2,}})(?![\w@+]|[./]\w))")
@@ -412,8 +413,9 @@ def name_terms(documents: DataFrame, known: DataFrame, text: str = "text") -> Da
 
 
 def _looked_up(text: str) -> set[str]:
-    """All terms whose roles are asked for: the words of the folded text, and the folded words."""
-    return {*_WORD.findall(fold(text)), *map(fold, set(_WORD.findall(text))), *map(fold, set(_WORD.findall(plain_form(text))))}
+    """All terms whose roles are asked for: the words of the folded text, the folded words, and those of streets, which end before a combining mark."""
+    plain = plain_form(text)
+    return {w for t in (text, plain) for w in (*_WORD.findall(fold(t)), *map(fold, set(_WORD.findall(t))))} | set(map(fold, _LETTERS.findall(plain)))
 
 
 def _person_names(text: str, roles: _Words, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
@@ -582,6 +584,13 @@ def _apart(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return out
 
 
+def _family(text: str, span: tuple[str, int, int], roles: _Words) -> str | None:
+    """The folded family name of a person's span: its last word that is one."""
+    kind, start, end = span
+    own = [w for w in _WORD.findall(text[start:end]) if roles[w] & ROLES["family"]] if kind == "person_name" else []
+    return fold(own[-1]) if own else None
+
+
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with placeholders; all else stays as it is."""
     parts, at = [], 0
@@ -598,15 +607,17 @@ def _role_map(rows: Iterator[tuple[str, str]]) -> dict[str, int]:
     return roles
 
 
-def with_spans(documents: DataFrame, model: DataFrame, keep: list[str], text: str = "text", clean: str | None = None, most_sent: int = MOST_SENT) -> DataFrame:
+def with_spans(documents: DataFrame, model: DataFrame, keep: list[str], text: str = "text", clean: str | None = None, most_sent: int | None = None, families: str | None = None) -> DataFrame:
     """Add ``spans``, all personal information in the text, and drop the text; with ``clean`` also the redacted text.
 
-    ``model`` as ``name_terms`` gives it. Up to ``most_sent`` terms go to the executors as a broadcast variable; of a
-    larger model each document gets only the terms it holds, by a join, so no model is too large.
+    ``model`` as ``name_terms`` gives it. Up to ``most_sent`` terms (MOST_SENT if null) go to the executors as a broadcast variable; of a
+    larger model each document gets only the terms it holds, by a join, so no model is too large. With ``families`` also the folded family name
+    of each span, null where it has none.
 
     Defined cases: null text gives null spans and null redaction, empty text empty ones; texts are taken whole; repeated rows give the same again.
     """
-    schema = T.StructType([*(documents.schema[c] for c in keep), T.StructField("spans", SPANS), *([T.StructField(clean, T.StringType())] if clean else [])])
+    schema = T.StructType([*(documents.schema[c] for c in keep), T.StructField("spans", SPANS), *([T.StructField(clean, T.StringType())] if clean else []), *([T.StructField(families, T.ArrayType(T.StringType()))] if families else [])])
+    most_sent = MOST_SENT if most_sent is None else most_sent
     sample = model.select("term", "role").limit(most_sent + 1).collect()
     if len(sample) <= most_sent:
         sent = documents.sparkSession.sparkContext.broadcast(_role_map((r["term"], r["role"]) for r in sample))
@@ -621,7 +632,7 @@ def with_spans(documents: DataFrame, model: DataFrame, keep: list[str], text: st
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
             own = batch.column(batch.schema.get_field_index("_terms")).to_pylist() if sent is None else None
-            flat, ends, cleaned = [], [0], []
+            flat, ends, cleaned, named = [], [0], [], []
             for i, value in enumerate(texts):
                 if own is not None:
                     roles = _role_map((t["term"], t["role"]) for t in own[i] or ())
@@ -631,11 +642,14 @@ def with_spans(documents: DataFrame, model: DataFrame, keep: list[str], text: st
                 ends.append(len(flat))
                 if clean:
                     cleaned.append(None if value is None else redact(value, found))
+                if families:
+                    named += [_family(value, span, words) for span in found]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             kinds, starts, stops = zip(*flat, strict=True) if flat else ((), (), ())
             parts = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["kind", "char_start", "char_end"])
             null = pa.array([value is None for value in texts], pa.bool_())
             columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts, mask=null), *([pa.array(cleaned, pa.string())] if clean else [])]
+            columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(named, pa.string()), mask=null)] if families else []
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -668,20 +682,18 @@ def found_rows(spanned: DataFrame, key: str) -> DataFrame:
 # --- terms that give away whose name was taken out -------------------------------------------------------------------
 
 
-def _company(text: str, spans: list[dict], roles: dict[str, int]) -> Iterator[tuple[str, str]]:
-    """Persons of a text with the terms of their sentences: (folded family name, term). Terms inside findings are left out."""
-    persons = [s for s in spans if s["kind"] == "person_name"]
+def _company(text: str, spans: list[dict], families: list[str | None]) -> Iterator[tuple[str, str]]:
+    """Persons of a text with the terms of their sentences: (folded family name, term). Terms inside findings are left out. ``families``: one for each span."""
+    persons = [(s, family) for s, family in zip(spans, families, strict=True) if family is not None]
     if not persons:
         return
     blank = list(text)
     for s in spans:
         blank[s["char_start"] : s["char_end"]] = " " * (s["char_end"] - s["char_start"])
     sentences = _Sentences("".join(blank))
-    for s in persons:
-        family = [w for w in map(fold, _WORD.findall(text[s["char_start"] : s["char_end"]])) if roles.get(w, 0) & ROLES["family"]]
-        if family:
-            for term in sentences.terms(s["char_start"], s["char_end"]):
-                yield family[-1], term
+    for s, family in persons:
+        for term in sentences.terms(s["char_start"], s["char_end"]):
+            yield family, term
 
 
 def disclosing_terms(documents: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
@@ -702,18 +714,17 @@ def disclosing_terms(documents: DataFrame, model: DataFrame, text: str = "text")
 def _met(documents: DataFrame, model: DataFrame, text: str, key: str | None = None) -> DataFrame:
     """Persons and terms that meet: ``entity, term, n`` with terms alone (null entity), or with ``key`` each document's distinct ``entity, term``."""
     held = [key] if key else []
-    rows = with_spans(documents.select(*held, F.col(text).alias("_whole"), F.col(text).alias("_text")), model, [*held, "_whole"], "_text")
-    sent = _sent_roles(model)
+    rows = with_spans(documents.select(*held, F.col(text).alias("_whole"), F.col(text).alias("_text")), model, [*held, "_whole"], "_text", families="_families")
     out = T.StructType([*([documents.schema[key]] if key else []), T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), *([] if key else [T.StructField("n", T.LongType())])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(len(held)).to_pylist(), batch.column(len(held) + 1).to_pylist()
+            texts, spans, families = (batch.column(len(held) + i).to_pylist() for i in range(3))
             index, pairs, tokens, counted = [], [], Counter(), Counter()
-            for row, (value, found) in enumerate(zip(texts, spans, strict=True)):
+            for row, (value, found, named) in enumerate(zip(texts, spans, families, strict=True)):
                 if not value:
                     continue
-                met = list(_company(value, found, sent.value))
+                met = list(_company(value, found, named))
                 if key:
                     own = sorted(set(met))
                     index += [row] * len(own)
@@ -733,19 +744,6 @@ def _met(documents: DataFrame, model: DataFrame, text: str, key: str | None = No
     return rows.mapInArrow(run, out)
 
 
-def _sent_roles(model: DataFrame):
-    """Family names as a broadcast variable; of a model with more than MOST_SENT the last word of a name stands for it."""
-    names = model.where("role = 'family'").select("term", "role").limit(MOST_SENT + 1).collect()
-    return model.sparkSession.sparkContext.broadcast(_AllFamily() if len(names) > MOST_SENT else _role_map((r["term"], r["role"]) for r in names))
-
-
-class _AllFamily(dict):
-    """Every word as a family name."""
-
-    def get(self, word: str, default: int = 0) -> int:
-        return ROLES["family"]
-
-
 def sanitised(documents: DataFrame, model: DataFrame, key: str, text: str = "text", clean: str = "sanitised") -> DataFrame:
     """Every text with placeholders for personal information and for the terms that disclose one of its persons: ``key, clean``.
 

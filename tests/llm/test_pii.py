@@ -129,3 +129,25 @@ def test_disclosing_terms_are_generalised(spark):
     last = len(rows) - 1
     assert len(got) == len(rows) and got[last - 2] is None and got[last - 1] == "" and got[last - 3] == rows[last - 3]
     assert got[last] == "[PERSON_NAME] sold the [TERM]. An [TERM]!" and got[1] == "[PERSON_NAME] kept the river at home number 0."
+
+
+def test_size_of_the_model_changes_no_family(spark, monkeypatch):
+    rows = [f"{name} kept the astrolabe at home number {i}." for i in range(6) for name in ("Selden, Mara", "Mara Brightwell", "Selden, Tovik")]
+    rows += [f"The river and stone {i} were cold and the home was far." for i in range(4000)] + [None, "", "Selden, Mara sold it. Tovik Selden read.", unicodedata.normalize("NFD", "Ostrôm, Mara slept.")]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    model = spark.createDataFrame([("mara", "given"), ("tovik", "given"), ("selden", "family"), ("brightwell", "family"), ("ostrôm", "family")], "term string, role string")
+    results = []
+    for most in (pii.MOST_SENT, 1):
+        monkeypatch.setattr(pii, "MOST_SENT", most)
+        met = {tuple(r) for r in pii._met(docs, model, "text", "doc_id").collect()}
+        assert {entity for _, entity, _ in met} == {"selden", "brightwell", "ostrôm"}
+        results.append((met, {tuple(r) for r in pii.disclosing_terms(docs, model).collect()}, {tuple(r) for r in pii.sanitised(docs, model, "doc_id").collect()}))
+    assert results[0] == results[1] and ("selden", "astrolabe") in {r[:2] for r in results[0][1]}
+
+
+def test_own_terms_hold_all_that_is_asked():
+    terms = {"copse": pii.ROLES["street"], "spinny": pii.ROLES["street"], "\u0622ل": 1, "selden": 2}
+    for text in ("At 8 New Copse\u0308 by the Spinny.", "Ａ\u0627\u0653ل Selden, 9 Old Copse\u0308 Spinny", "ΟΔΟΣ＇Α"):
+        own = {t: terms[t] for t in pii._looked_up(text) if t in terms}
+        assert pii.find_spans(text, own) == pii.find_spans(text, terms)
+        assert {w for token in text.split() for w in pii._WORD.findall(pii.fold(pii.plain_form(token)))} <= pii._looked_up(text)
